@@ -47,7 +47,12 @@ def _deletions(w: Column) -> Column:
     """The word and everything left after deleting one or two of its characters."""
     one = _drop_one(w)
     two = F.flatten(F.transform(one, _drop_one))
-    return F.array_distinct(F.concat(F.array(w), one, two))
+    return _hashed(F.array_distinct(F.concat(F.array(w), one, two)))
+
+
+def _hashed(keys: Column) -> Column:
+    """Short join keys; a collision only costs a distance computation."""
+    return F.transform(keys, lambda k: F.xxhash64(k))
 
 
 def _segments(w: Column, length: Column, shifts: Column) -> Column:
@@ -65,7 +70,7 @@ def _segments(w: Column, length: Column, shifts: Column) -> Column:
             lambda s: F.concat_ws("|", length, j, F.substring(w, j * size + s + 1, width)),
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part))
+    return _hashed(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part)))
 
 
 def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:

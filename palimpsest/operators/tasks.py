@@ -124,7 +124,7 @@ def completion_tasks(
     One narrow pass; cut points are drawn from a hash of seed, task and key.
     """
     m = sections.min_section_words
-    docs = _planned(df, key, title, text, year, seed, sections).where(F.col("skip_reason").isNull())
+    docs = _planned(df, key, title, text, year, seed, sections)
     words, n = F.col("words"), F.col("n")
 
     def span(start: Column | int, end: Column) -> Column:
@@ -167,7 +167,9 @@ def completion_tasks(
             fill(CONTEXT_OUTPUT, second=span(ctx, n)),
         ),
     )
-    return docs.select("original_index", F.inline(F.array_compact(rows)))
+    # No filter on the skip reason: pushed down, it would repeat the word split per use.
+    kept = F.when(F.col("skip_reason").isNull(), F.array_compact(rows))
+    return docs.select("original_index", F.inline(kept))
 
 
 def skipped_documents(
@@ -181,9 +183,9 @@ def skipped_documents(
 ) -> DataFrame:
     """Documents without tasks: ``(original_index, n_words, skip_reason)``."""
     plan = _planned(df, key, title, text, year, seed, sections)
-    return plan.where(F.col("skip_reason").isNotNull()).select(
-        "original_index", F.greatest("n", F.lit(0)).alias("n_words"), "skip_reason"
-    )
+    row = F.struct(F.greatest("n", F.lit(0)).alias("n_words"), "skip_reason")
+    skipped = F.when(F.col("skip_reason").isNotNull(), F.array(row))
+    return plan.select("original_index", F.inline(skipped))
 
 
 def training_text(df: DataFrame, template: str = "title", out: str = "text") -> DataFrame:
