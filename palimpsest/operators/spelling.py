@@ -47,12 +47,7 @@ def _deletions(w: Column) -> Column:
     """The word and everything left after deleting one or two of its characters."""
     one = _drop_one(w)
     two = F.flatten(F.transform(one, _drop_one))
-    return _hashed(F.array_distinct(F.concat(F.array(w), one, two)))
-
-
-def _hashed(keys: Column) -> Column:
-    """Short join keys; a collision only costs a distance computation."""
-    return F.transform(keys, lambda k: F.xxhash64(k))
+    return F.array_distinct(F.concat(F.array(w), one, two))
 
 
 def _segments(w: Column, length: Column, shifts: Column) -> Column:
@@ -70,35 +65,49 @@ def _segments(w: Column, length: Column, shifts: Column) -> Column:
             lambda s: F.concat_ws("|", length, j, F.substring(w, j * size + s + 1, width)),
         )
 
-    return _hashed(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part))
+
+
+def _token_keys(w: Column) -> Column:
+    """Keys under which a dictionary word close to the token ``w`` may be found."""
+    none = F.array().cast("array<string>")
+    move = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
+    lengths = F.filter(
+        F.transform(move, lambda d: F.length(w) + d), lambda n: n > LONGEST_BY_DELETION
+    )
+    probes = F.array_distinct(F.flatten(F.transform(lengths, lambda n: _segments(w, n, move))))
+    return F.concat(
+        F.when(F.length(w) <= LONGEST_BY_DELETION + MAX_EDITS, _deletions(w)).otherwise(none),
+        F.when(F.length(w) > LONGEST_BY_DELETION - MAX_EDITS, probes).otherwise(none),
+    )
+
+
+def _word_keys(w: Column) -> Column:
+    whole = _segments(w, F.length(w), F.array(F.lit(0)))
+    return F.when(F.length(w) <= LONGEST_BY_DELETION, _deletions(w)).otherwise(whole)
+
+
+def _keyed(df: DataFrame, keys: Column) -> DataFrame:
+    """One row per key, as a short hash; a collision only costs a distance computation."""
+    return df.withColumn("_key", F.explode(keys)).withColumn("shared", F.xxhash64("_key")).drop("_key")
 
 
 def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(token, word, freq, distance)`` for all pairs within two edits (pairs may repeat).
 
-    Found by equi-joins on shared keys; tokens and words are never crossed.
+    Found by one equi-join on shared keys; tokens and words are never crossed.
     """
     token, word = F.col("token"), F.col("word")
-    short_words = dictionary.where(F.length(word) <= LONGEST_BY_DELETION)
-    long_words = dictionary.where(F.length(word) > LONGEST_BY_DELETION)
-    short_tokens = tokens.where(F.length(token) <= LONGEST_BY_DELETION + MAX_EDITS)
-    long_tokens = tokens.where(F.length(token) > LONGEST_BY_DELETION - MAX_EDITS)
-
-    by_deletion = short_tokens.select("token", F.explode(_deletions(token)).alias("shared")).join(
-        short_words.select("word", "freq", F.explode(_deletions(word)).alias("shared")), "shared"
-    )
-    stay = F.array(F.lit(0))
-    move = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
-    lengths = F.filter(
-        F.transform(move, lambda d: F.length(token) + d), lambda n: n > LONGEST_BY_DELETION
-    )
-    probes = F.array_distinct(F.flatten(F.transform(lengths, lambda n: _segments(token, n, move))))
-    by_segment = long_tokens.select("token", F.explode(probes).alias("shared")).join(
-        long_words.select("word", "freq", F.explode(_segments(word, F.length(word), stay)).alias("shared")),
-        "shared",
+    # A token of a few bytes becomes dozens of keys, so tokens are spread by count and
+    # not merged into few partitions for being small.
+    session = tokens.sparkSession
+    wide = max(
+        session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))
     )
+    probes = _keyed(tokens.select("token").repartition(wide, "token"), _token_keys(token))
+    words = _keyed(dictionary.select("word", "freq"), _word_keys(word))
     return (
-        by_deletion.unionByName(by_segment)
+        probes.join(words, "shared")
         .withColumn("distance", F.levenshtein(token, word, MAX_EDITS))
         .where(F.col("distance") >= 0)
         .drop("shared")
