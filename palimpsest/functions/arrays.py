@@ -40,30 +40,3 @@ def runs(arr: Column) -> Column:
         )
 
     return let(F.array_sort(arr), from_sorted)
-
-
-def numbered(arr: Column) -> Column:
-    """Make every element unique by appending its occurrence number.
-
-    ``array_intersect`` of two such arrays is then a multiset intersection.
-    """
-    return F.flatten(
-        F.transform(
-            runs(arr),
-            lambda r: F.transform(
-                indexes(r["n"]), lambda k: F.concat(r["value"], F.lit("\u0001"), k.cast("string"))
-            ),
-        )
-    )
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array, in order."""
-    if n == 1:
-        return tokens
-    return let(
-        tokens,
-        lambda t: F.transform(
-            indexes(F.size(t) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(t, i + 1, n))
-        ),
-    )

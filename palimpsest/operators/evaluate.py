@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import patterns as P
 from palimpsest.functions import scores as S
+from palimpsest.functions.arrays import let
 from palimpsest.sources.tables import require_columns
 
 METRICS = ("bleu", "rouge_l", "jsd", "jaccard", "levenshtein")
@@ -24,18 +25,29 @@ def analyze_corrections(original: Column, corrected: Column) -> Column:
     Zeros when either side is null.
     """
     both = original.isNotNull() & corrected.isNotNull()
-    a = F.when(both, _distinct_words(original)).otherwise(F.array().cast("array<string>"))
-    b = F.when(both, _distinct_words(corrected)).otherwise(F.array().cast("array<string>"))
-    different = F.size(F.array_except(b, a))
+    none = F.array().cast("array<string>")
     flagged = F.when(both, F.regexp_count(corrected, F.lit(P.FLAGGED_WORDS))).otherwise(0)
-    return F.struct(
-        F.size(a).alias("original_words"),
-        F.size(b).alias("corrected_words"),
-        different.alias("different_words"),
-        F.when(F.size(a) > 0, different / F.size(a) * 100).otherwise(0.0).alias("percent_changed"),
-        flagged.alias("flagged_words"),
+    words = F.struct(
+        F.when(both, _distinct_words(original)).otherwise(none).alias("a"),
+        F.when(both, _distinct_words(corrected)).otherwise(none).alias("b"),
+        flagged.alias("flagged"),
     )
 
+    def counts(w: Column) -> Column:
+        n = F.size(w["a"])
+        return let(
+            F.size(F.array_except(w["b"], w["a"])),
+            lambda new: F.struct(
+                n.alias("original_words"),
+                F.size(w["b"]).alias("corrected_words"),
+                new.alias("different_words"),
+                F.when(n > 0, new / n * 100).otherwise(0.0).alias("percent_changed"),
+                w["flagged"].alias("flagged_words"),
+            ),
+        )
+
+    return let(words, counts)
+
 
 def correction_metrics(
     df: DataFrame, original_cols: Sequence[str], corrected_cols: Sequence[str], keys: Sequence[str] = ()

@@ -497,19 +497,25 @@ def all_null_rows(spark, sf):
     return fields.all_null_rows(gone).agg(F.count(F.lit(1)).alias("null_rows"))
 
 
-def _compared(a: DataFrame, b: DataFrame):
-    a = row_identity.with_row_no(a, ["doc_id"], start=0)
-    b = row_identity.with_row_no(b, ["doc_id"], start=0)
-    return compare.compare_column(a, b, "original_transcript", "semi_clean_transcript")
+def _numbered(spark, sf):
+    docs = documents(spark, sf).select("doc_id", F.col("text").alias("transcript"))
+    return row_identity.with_row_no(docs, ["doc_id"], start=0)
+
+
+def _compared(spark, sf):
+    """Original against semi-clean transcripts, numbered once before the costly cleaning."""
+    done = cleaning.clean_items(_numbered(spark, sf), date=None)
+    return compare.compare_column(
+        done.select("row_no", "original_transcript"),
+        done.select("row_no", "semi_clean_transcript"),
+        "original_transcript",
+        "semi_clean_transcript",
+    )
 
 
 @query
 def compare_summary(spark, sf):
-    done = cleaned(spark, sf)
-    out = _compared(
-        done.select("doc_id", "original_transcript"), done.select("doc_id", "semi_clean_transcript")
-    )["summary"]
-    return out.select(
+    return _compared(spark, sf)["summary"].select(
         "rows_a", "rows_b", "rows_match", "exact_matches",
         F.round("exact_match_rate", 9).alias("exact_match_rate"), "total_differences",
         "nulls_a", "nulls_b", F.array_join("potential_issues", LIST_MARK).alias("potential_issues"),
@@ -518,27 +524,22 @@ def compare_summary(spark, sf):
 
 @query
 def compare_differences(spark, sf):
-    done = cleaned(spark, sf)
-    return _compared(
-        done.select("doc_id", "original_transcript"), done.select("doc_id", "semi_clean_transcript")
-    )["differences"]
+    return _compared(spark, sf)["differences"]
 
 
 @query
 def compare_samples(spark, sf):
-    done = cleaned(spark, sf)
-    return _compared(
-        done.select("doc_id", "original_transcript"), done.select("doc_id", "semi_clean_transcript")
-    )["samples"]
+    return _compared(spark, sf)["samples"]
 
 
 @query
 def compare_unequal_tables(spark, sf):
-    done = cleaned(spark, sf)
-    flagged = done.where("general_pattern")
-    out = _compared(
-        done.select("doc_id", "original_transcript"),
-        flagged.select("doc_id", "semi_clean_transcript"),
+    flagged = cleaned(spark, sf).where("general_pattern").select("doc_id", "semi_clean_transcript")
+    out = compare.compare_column(
+        cleaning.add_fields(_numbered(spark, sf), date=None),
+        row_identity.with_row_no(flagged, ["doc_id"], start=0),
+        "original_transcript",
+        "semi_clean_transcript",
     )["summary"]
     return out.select(
         "rows_a", "rows_b", "rows_match", "exact_matches_overlap",
