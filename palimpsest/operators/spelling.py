@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import patterns as P
-from palimpsest.functions.arrays import indexes
+from palimpsest.functions.arrays import indexes, let
 from palimpsest.operators.quality import unknown_tokens
 
 MAX_EDITS = 2
@@ -36,18 +36,31 @@ def row_tokens(df: DataFrame, key: str, col: str) -> DataFrame:
     )
 
 
-def _drop_one(w: Column) -> Column:
-    return F.transform(
-        indexes(F.length(w)),
-        lambda i: F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w))),
-    )
-
-
 def _deletions(w: Column) -> Column:
     """The word and everything left after deleting one or two of its characters."""
-    one = _drop_one(w)
-    two = F.flatten(F.transform(one, _drop_one))
-    return F.array_distinct(F.concat(F.array(w), one, two))
+
+    def without(i: Column) -> Column:
+        """Character ``i`` dropped, then each later one dropped as well."""
+        parts = F.struct(
+            F.substring(w, F.lit(1), i).alias("left"),
+            F.substring(w, i + 2, F.length(w)).alias("right"),
+        )
+        return let(
+            parts,
+            lambda p: F.array_prepend(
+                F.transform(
+                    indexes(F.length(p["right"])),
+                    lambda j: F.concat(
+                        p["left"],
+                        F.substring(p["right"], F.lit(1), j),
+                        F.substring(p["right"], j + 2, F.length(p["right"])),
+                    ),
+                ),
+                F.concat(p["left"], p["right"]),
+            ),
+        )
+
+    return F.array_prepend(F.flatten(F.transform(indexes(F.length(w)), without)), w)
 
 
 def _segments(w: Column, length: Column, shifts: Column) -> Column:
@@ -104,7 +117,8 @@ def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     wide = max(
         session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))
     )
-    probes = _keyed(tokens.select("token").repartition(wide, "token"), _token_keys(token))
+    spread_out = tokens.select("token").repartition(wide, F.xxhash64("token"))
+    probes = _keyed(spread_out, _token_keys(token))
     words = _keyed(dictionary.select("word", "freq"), _word_keys(word))
     return (
         probes.join(words, "shared")
@@ -136,13 +150,13 @@ _WORD = re.compile(r"[\w']+")
 
 
 @F.pandas_udf(T.StringType())
-def _apply_fixes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _apply_fixes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Rewrite each text with its own fixes, in one pass over the text."""
 
-    def fix(text: str, pairs) -> str:
-        if text is None or pairs is None or len(pairs) == 0:
+    def fix(text: str, wrong: Sequence[str] | None, right: Sequence[str] | None) -> str:
+        if text is None or wrong is None:
             return text
-        fixes = {p["token"]: p["correction"] for p in pairs}
+        fixes = dict(zip(wrong, right))
 
         def swap(m: re.Match) -> str:
             w = m.group(0)
@@ -151,8 +165,8 @@ def _apply_fixes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
         return _WORD.sub(swap, text)
 
-    for texts, pairs in batches:
-        yield pd.Series([fix(t, p) for t, p in zip(texts, pairs)], dtype=object)
+    for texts, wrong, right in batches:
+        yield pd.Series([fix(*row) for row in zip(texts, wrong, right)], dtype=object)
 
 
 def correct_spelling(
@@ -173,6 +187,5 @@ def correct_spelling(
         .groupBy(key)
         .agg(F.collect_list(F.struct("token", "correction")).alias("_fixes"))
     )
-    return (
-        df.join(per_row, key, "left").withColumn(out, _apply_fixes(F.col(col), F.col("_fixes"))).drop("_fixes")
-    )
+    fixed = _apply_fixes(F.col(col), F.col("_fixes.token"), F.col("_fixes.correction"))
+    return df.join(per_row, key, "left").withColumn(out, fixed).drop("_fixes")

@@ -105,7 +105,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     told = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return spread(asked.join(told, ["conv_id", "turn"]), "conv_id", "turn")
+    keys = ["conv_id", "turn"]
+    return spread(asked, *keys).join(spread(told, *keys), keys)
 
 
 def answered(spark: SparkSession, sf: str) -> DataFrame:

@@ -35,6 +35,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A small file is one block and would be read, and cleaned, by a single task.  Inputs
     that already have a partition per core, as every large table does, stay as they are.
+    For scans only: counting the partitions of a shuffled result would run its stages.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
