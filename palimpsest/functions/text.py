@@ -137,7 +137,10 @@ def repeat_letters(c: Column) -> Column:
 
 
 def _replace_hinted(c: Column, hint: str, pattern: str, replacement: str) -> Column:
-    return F.when(c.rlike(hint), F.regexp_replace(c, pattern, replacement)).otherwise(c)
+    """Replace only where the cheap hint occurs; ``c`` is bound, as it is used three times."""
+    return let(
+        c, lambda t: F.when(t.rlike(hint), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+    )
 
 
 def remove_special(c: Column) -> Column:
@@ -177,11 +180,14 @@ def strip_unclosed_paren(c: Column) -> Column:
 
     String functions instead of a pattern: linear even for texts full of ``(``.
     """
-    tail = F.substring_index(c, ")", -1)
-    at = F.instr(tail, "(")
-    return F.when(
-        at > 0, F.substring(c, F.lit(1), F.length(c) - F.length(tail) + at - 1)
-    ).otherwise(c)
+
+    def cut(t: Column) -> Column:
+        tail = F.substring_index(t, ")", -1)
+        at = F.instr(tail, "(")
+        kept = F.substring(t, F.lit(1), F.length(t) - F.length(tail) + at - 1)
+        return F.when(at > 0, kept).otherwise(t)
+
+    return let(c, cut)
 
 
 # -- scores and splits --------------------------------------------------------------------

@@ -37,7 +37,10 @@ class Limits:
 
 ONE_CHAR_TOKEN = f"(?<!{P.NON_WS}){P.NON_WS}(?!{P.NON_WS})"
 LETTER_TOKEN = rf"(?<!{P.NON_WS})\p{{L}}+(?!{P.NON_WS})"
-COMMON_WORD = f"(?<!{P.W})(?:{'|'.join(COMMON_WORDS)})(?!{P.W})"
+# Longer words are ruled out before the alternatives are tried.
+COMMON_WORD = (
+    f"(?<!{P.W})(?=[a-z]{{1,{max(map(len, COMMON_WORDS))}}}+(?!{P.W}))(?:{'|'.join(COMMON_WORDS)})(?!{P.W})"
+)
 
 
 def _checked_word(limits: Limits) -> str:

@@ -111,14 +111,7 @@ def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     Found by one equi-join on shared keys; tokens and words are never crossed.
     """
     token, word = F.col("token"), F.col("word")
-    # A token of a few bytes becomes dozens of keys, so tokens are spread by count and
-    # not merged into few partitions for being small.
-    session = tokens.sparkSession
-    wide = max(
-        session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))
-    )
-    spread_out = tokens.select("token").repartition(wide, F.xxhash64("token"))
-    probes = _keyed(spread_out, _token_keys(token))
+    probes = _keyed(tokens.select("token"), _token_keys(token))
     words = _keyed(dictionary.select("word", "freq"), _word_keys(word))
     return (
         probes.join(words, "shared")
