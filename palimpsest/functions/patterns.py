@@ -23,9 +23,10 @@ BLANKS = (
 WS = f"[{BLANKS}]"
 NON_WS = f"[^{BLANKS}]"
 
-# One word character: letters, numbers of any kind, underscore.
+# One word character: letters, numbers of any kind, underscore.  The range ends in a real
+# character beyond the basic plane: only then does look-behind step over whole characters.
 ALNUM = string.ascii_letters + string.digits
-WORD_CHARS = ALNUM + r"_[\x{80}-\x{10ffff}&&[\p{L}\p{N}]]"
+WORD_CHARS = ALNUM + "_[\\x{80}-\U0010ffff&&[\\p{L}\\p{N}]]"
 W = f"[{WORD_CHARS}]"
 
 # ---------------------------------------------------------------------------------------
@@ -69,7 +70,9 @@ GENERAL = (
 )
 
 # "^" with up to four word characters, or a punctuation mark touching no word character.
-CARET = rf"\^{W}{{0,4}}|(?<!{W})[^{WORD_CHARS}{BLANKS}](?!{W})"
+# The mark is tested before its neighbours, so letters fail at once.
+MARK = f"[^{WORD_CHARS}{BLANKS}]"
+CARET = rf"(?={MARK})(?:\^{W}{{0,4}}+|(?<!{W}){MARK}(?!{W}))"
 
 # Written so that a long run of blanks inside a text is scanned once.
 EDGE_BLANKS = f"^{WS}++|(?<!{WS}){WS}++\\z"

@@ -16,7 +16,13 @@ SHORT_LENGTH = 20
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, P.EDGE_BLANKS, "")
+    """Blanks at both ends go; texts without any are not searched."""
+
+    def stripped(t: Column) -> Column:
+        edges = F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+        return F.when(edges.rlike(P.WS), F.regexp_replace(t, P.EDGE_BLANKS, "")).otherwise(t)
+
+    return let(c, stripped)
 
 
 def is_blank(c: Column) -> Column:
@@ -95,7 +101,12 @@ def condense_ws(c: Column) -> Column:
 
 def normalize_spaces(c: Column) -> Column:
     """Runs of two or three spaces become one space, longer runs a line end."""
-    return F.regexp_replace(F.regexp_replace(c, " {4,}", "\n"), " {2,3}", " ")
+
+    def joined(t: Column) -> Column:
+        runs = F.regexp_replace(F.regexp_replace(t, " {4,}", "\n"), " {2,3}", " ")
+        return F.when(t.contains("  "), runs).otherwise(t)
+
+    return let(c, joined)
 
 
 # -- artifact search ----------------------------------------------------------------------
@@ -185,7 +196,7 @@ def strip_unclosed_paren(c: Column) -> Column:
         tail = F.substring_index(t, ")", -1)
         at = F.instr(tail, "(")
         kept = F.substring(t, F.lit(1), F.length(t) - F.length(tail) + at - 1)
-        return F.when(at > 0, kept).otherwise(t)
+        return F.when(t.contains("(") & (at > 0), kept).otherwise(t)
 
     return let(c, cut)
 

@@ -32,7 +32,7 @@ JAVA = {
 }
 ALPHABETS = [
     "aab=&*3^ \n",
-    "aaabcXYZ    ½²é—٣😀&=*@.,!(){}[]^_-'\"/\r\n\t\x1c\x85",
+    "aaabcXYZ    ½²é—٣😀𝐀&=*@.,!(){}[]^_-'\"/\r\n\t\x1c\x85",
     "abcABC   .!?()[]<>&^",
 ]
 
