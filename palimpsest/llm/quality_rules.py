@@ -195,21 +195,23 @@ def judged(stats: DataFrame, model: DataFrame, min_group: int = MIN_GROUP) -> Da
     """``stats`` with ``distance`` by the narrowest group of at least ``min_group`` rows.
 
     The estimates are joined by language and source; Spark broadcasts them while their written
-    size is under its threshold.
+    size is under its threshold.  A pair without an estimate has a null distance.
     """
     held = [c for c in model.columns if c.startswith(("m_", "w_"))]
-    names, rows = list(stats.columns), stats
-    for level, keys in ((2, ("lang", "source")), (1, ("lang",)), (0, ())):
-        part = model.where((F.col("group.level") == level) & ((F.col("n") >= min_group) | (level == 0)))
-        part = part.select(
-            *(F.col(f"group.{k}").alias(f"g_{k}") for k in keys), F.struct(*held).alias(f"e_{level}"), F.lit(level).alias("one")
-        )
-        on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys] or [F.col("all_rows") == F.col("one")]
-        rows = rows.withColumn("all_rows", F.lit(0)).join(part, on, "left").select(*names, f"e_{level}")
-        names.append(f"e_{level}")
-    best = F.coalesce("e_2", "e_1", "e_0")
-    rows = rows.select(*stats.columns, best.alias("e"))
-    return rows.select(*stats.columns, "e.*").select(*stats.columns, distance().alias("distance"))
+    level, enough = F.col("group.level"), F.col("n") >= min_group
+    every = model.where(level == 0).select(*held).first()  # one row of numbers for the whole table
+    last = F.struct(*((F.lit(every[c]) if every else F.lit(None).cast("double")).alias(c) for c in held))
+    langs = model.where((level == 1) & enough).select(F.col("group.lang").alias("l_lang"), F.struct(*held).alias("wide"))
+    pairs = model.where(level == 2).select(
+        F.col("group.lang").alias("g_lang"), F.col("group.source").alias("g_source"),
+        F.when(enough, F.struct(*held)).alias("own"),
+    )
+    pairs = pairs.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left")
+    pairs = stored(pairs.select("g_lang", "g_source", F.coalesce("own", "wide", last).alias("e")), "mcd-of-pair")
+    met = stats.join(
+        pairs, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left"
+    )
+    return met.select(*stats.columns, "e.*").select(*stats.columns, distance().alias("distance"))
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
