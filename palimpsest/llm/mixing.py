@@ -7,8 +7,8 @@ nonnegative rates r are sought for which the expected token totals, the sums of
 ``r * tokens * posterior``, match the targets in the least-squares sense.
 
 All rates start at 1.  Each step aggregates the totals and the posteriors' Gram matrix of the
-documents with a positive rate (a dozen numbers), solves for the gradient in that metric on the
-driver, and every document follows it, cut at zero.  A document's rate is thus a short formula of
+documents whose rate is not at a bound (a dozen numbers), solves for the gradient in that metric on
+the driver, and every document follows it, cut at zero and at ``MOST``.  A document's rate is thus a short formula of
 its posteriors, so nothing is joined or shuffled but the sums.
 """
 
@@ -26,7 +26,9 @@ from palimpsest.llm.common import stored, words
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of the tokens that each domain shall have in the mixture.
-TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
+TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+#: A document is repeated so many times at most; a scarce domain then falls short of its target.
+MOST = 4.0
 #: Labelled documents to learn from, at most: those with the smallest hash of their id.
 SAMPLE = 6000
 FEATURES = 1 << 15
@@ -81,43 +83,53 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel | list[float], *k
     return made.select(*held, *((F.col("p")[k] if k < got else F.lit(0.0)).alias(c) for k, c in enumerate(names)))
 
 
-def rate(steps: list[list[float]]) -> Column:
+def rate(steps: list[list[float]], most: float = MOST) -> Column:
     """The rate of a document with posteriors ``p_*`` after the given steps."""
     r: Column = F.lit(1.0)
     for g in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.lit(v) * F.col(f"p_{k}") for k, v in enumerate(g)), F.lit(0.0)))
+        moved = r - sum((F.lit(v) * F.col(f"p_{k}") for k, v in enumerate(g)), F.lit(0.0))
+        r = F.least(F.lit(most), F.greatest(F.lit(0.0), moved))
     return r
 
 
-def fitted_steps(rows: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> list[list[float]]:
-    """Gradient steps for ``rows(n, p_*)`` that bring the expected shares to the targets.
+def fitted_steps(
+    rows: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, most: float = MOST
+) -> list[list[float]]:
+    """Projected-gradient steps for ``rows(n, p_*)`` that bring the expected shares to the targets.
 
-    Shares are of all tokens before mixing, so the mixture is as large as its input.  A domain
-    without tokens keeps its remainder.  Without tokens there are no steps.
+    Shares are of all tokens before mixing, so the mixture is as large as its input where the
+    bounds allow.  The steps end at the smallest squared error seen; after a step that made it
+    larger, the next ones go half as far.  A table without tokens has no steps.
     """
     d = len(DOMAINS)
     weights = sum(targets.values())
     goal = [targets[name] / weights for name in DOMAINS]
     total = rows.agg(F.sum("n")).first()[0] or 0
-    found: list[list[float]] = []
-    if not total:
-        return found
-    for _ in range(steps):
+    taken: list[list[float]] = []
+    best, found, pace = math.inf, [], 1.0
+    for _ in range(steps + 1 if total else 0):
         r = F.col("r")
+        free = (r > 0) & (r < most)
         sums = [F.sum(F.col("n") * r * F.col(f"p_{k}")) for k in range(d)]
-        gram = [F.sum(F.when(r > 0, F.col("n") * F.col(f"p_{i}") * F.col(f"p_{j}"))) for i in range(d) for j in range(d)]
-        got = [(v or 0.0) / total for v in rows.withColumn("r", rate(found)).agg(*sums, *gram).first()]
+        gram = [F.sum(F.when(free, F.col("n") * F.col(f"p_{i}") * F.col(f"p_{j}"))) for i in range(d) for j in range(d)]
+        got = [(v or 0.0) / total for v in rows.withColumn("r", rate(taken, most)).agg(*sums, *gram).first()]
         over = [a - t for a, t in zip(got[:d], goal, strict=True)]
-        if max(map(abs, over)) < TOLERANCE:
+        error = sum(v * v for v in over)
+        if error < best:
+            best, found = error, list(taken)
+        else:
+            pace /= 2
+        if max(map(abs, over)) < TOLERANCE or len(taken) == steps:
             break
-        found.append(_solve([got[d + i * d : d + i * d + d] for i in range(d)], over))
+        step = _solve([got[d + i * d : d + i * d + d] for i in range(d)], over)
+        taken.append([pace * v for v in step])
     return found
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     """Solution of a small symmetric system, slightly regularised, by elimination with pivots."""
     d = len(right)
-    rows = [[v + (1e-9 if i == j else 0.0) for j, v in enumerate(row)] + [right[i]] for i, row in enumerate(matrix)]
+    rows = [[v + (1e-4 if i == j else 0.0) for j, v in enumerate(row)] + [right[i]] for i, row in enumerate(matrix)]
     for i in range(d):
         p = max(range(i, d), key=lambda k: abs(rows[k][i]))
         rows[i], rows[p] = rows[p], rows[i]
