@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup
+from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk_search
 from palimpsest.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_sharding,
+        op3_exact_top_k_search,
         op4_simhash_near_dedup,
         op7_best_fit_packing,
         op8_quality_rules,
@@ -50,4 +56,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixing,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_top_k_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
