@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk_search
+from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk_search, toxicity
 from palimpsest.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.packed(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_sharding,
         op3_exact_top_k_search,
         op4_simhash_near_dedup,
+        op6_toxicity,
         op7_best_fit_packing,
         op8_quality_rules,
         op9_line_dedup,
