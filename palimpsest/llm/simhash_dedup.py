@@ -125,6 +125,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
     first = stored(first.join(copies, same, "left").select("id", "h", "n"), "first")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h2"))
-    kept = rows.join(first, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("h2") == F.col("h")))
+    kept = rows.join(first.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("h2") == F.col("h")))
     once = kept.where("n is not null").dropDuplicates(["id", "h"])
     return kept.where("n is null").select("row.*").union(once.select("row.*"))
