@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,10 @@ CLEAN_SAMPLE = 1800
 ROUNDS = 4
 #: Disguised copies of each positive word that the machine also learns from.
 DISGUISES = 8
+#: Weight of all positive words together against all negative ones: a text has many chances to be wrong.
+POSITIVE = 0.25
+#: A word of toxic texts alone is positive for certain where chance would give it so with this probability.
+CHANCE = 1e-5
 #: Words whose scores a worker remembers while it reads one partition.
 REMEMBERED = 400_000
 #: Characters: letters of English, and all other letters as one class; 0 stands for marks and digits.
@@ -128,7 +133,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -30, 30)))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-4, rounds: int = 30) -> np.ndarray:
     """Squared-hinge support vector machine by Newton steps; the last number is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -195,6 +200,12 @@ class _Vocabulary:
         return held / len(texts)
 
 
+def _odds(toxic, clean, n_toxic: int, n_clean: int, prior: float = 10.0):
+    """Log ratio of two rates, each drawn to the common one by ``prior`` texts."""
+    rate = (toxic + clean + 1e-3) / (n_toxic + n_clean)
+    return np.log((toxic + prior * rate) / (n_toxic + prior)) - np.log((clean + prior * rate) / (n_clean + prior))
+
+
 def _disguised(word: str, count: int, draw: np.random.Generator) -> list[str]:
     """Copies of a word with one letter put in or doubled, or marks between all letters."""
     out = [".".join(word)] if count else []
@@ -227,26 +238,48 @@ def _trained(positive: list[str], negative: list[str], marks: list[str], in_toxi
         kernel[:, j] = np.bincount(row, weight * table[j, key], len(kernel))
     y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
     mass = np.array([m for _, m in pos] + [1.0] * len(neg))
-    mass[: len(pos)] *= len(neg) / max(1e-9, mass[: len(pos)].sum())  # both sides weigh alike
+    mass[: len(pos)] *= POSITIVE * len(neg) / mass[: len(pos)].sum()
     w = _machine(kernel @ project, y, mass)
     return Model(table.T @ (project @ w[:-1]), float(w[-1]))
 
 
+def _distinct(texts: list[set[str]], bands: int = 6) -> list[set[str]]:
+    """The texts without near-copies of earlier ones, whose words would look like evidence."""
+    seen: dict[tuple[int, ...], list[int]] = {}
+    kept: list[set[str]] = []
+    for ws in texts:
+        raw = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws], np.uint64)
+        low = [int((raw * np.uint64(2 * k + 1) * np.uint64(2654435761) % np.uint64(4294967291)).min()) for k in range(2 * bands)]
+        keys = [(b, low[2 * b], low[2 * b + 1]) for b in range(bands)]
+        near = {i for key in keys for i in seen.get(key, ())}
+        if any(2 * len(ws & kept[i]) > len(ws | kept[i]) for i in near):
+            continue
+        for key in keys:
+            seen.setdefault(key, []).append(len(kept))
+        kept.append(ws)
+    return kept
+
+
 def fit(texts: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | float:
     """A model of ``(words, toxic)``; the share of toxic texts where one of the two kinds is missing."""
-    toxic = [sorted(w) for w, t in texts if t and w]
-    clean = [sorted(w) for w, t in texts if not t and w]
+    toxic = [sorted(w) for w in _distinct([w for w, t in texts if t and w])]
+    clean = [sorted(w) for w in _distinct([w for w, t in texts if not t and w])]
     if not toxic or not clean:
         return sum(t for _, t in texts) / len(texts) if texts else 0.0
     in_clean = Counter(w for ws in clean for w in ws)
     in_toxic = Counter(w for ws in toxic for w in ws)
     vocabulary = _Vocabulary(sorted(in_clean | in_toxic))
 
-    # Start: how much more often a subsequence stands in toxic texts, and the word that shows it most.
-    odds = np.log((vocabulary.shares(toxic) + 0.01) / (vocabulary.shares(clean) + 0.01))
+    # Start: how much more often a word and its subsequences stand in toxic texts.
+    held = vocabulary.shares(toxic) * len(toxic), vocabulary.shares(clean) * len(clean)
+    odds = _odds(*held, len(toxic), len(clean))
     score = vocabulary.scores(Model(odds, 0.0))
-    lift = {w: np.log((in_toxic[w] / len(toxic) + 0.002) / (in_clean[w] / len(clean) + 0.002)) for w in in_toxic}
-    positive = {max(ws, key=lambda w: (score[w] + lift[w], w)) for ws in toxic}
+    lift = {w: float(_odds(in_toxic[w], in_clean[w], len(toxic), len(clean))) for w in in_toxic}
+    positive = {max(ws, key=lambda w: (score[w] + 2 * lift[w], w)) for ws in toxic}
+    # Words seen in so many toxic texts, and in no clean one, that chance does not explain it.
+    enough = np.log(CHANCE) / np.log(len(toxic) / (len(toxic) + len(clean)))
+    sure = {w for w, n in in_toxic.items() if n >= enough and not in_clean[w]}
+    positive |= sure
     negative = {w for w, _ in in_clean.most_common(3000)}
     negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:3000])
     model = Model(odds, 0.0)
@@ -257,9 +290,9 @@ def fit(texts: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: i
         model = _trained(order, sorted(negative), marks, in_toxic)
         score = vocabulary.scores(model)
         # Of each toxic text its worst word, and any other that the machine is sure of.
-        positive = {max(ws, key=lambda w: (score[w], w)) for ws in toxic}
-        positive |= {w for w in in_toxic if score[w] > 0.5 and not in_clean[w]}
-        positive -= {w for w in positive if in_clean[w] * len(toxic) >= in_toxic[w] * len(clean)}
+        positive = {max(ws, key=lambda w: (score[w] + lift[w], w)) for ws in toxic}
+        positive |= sure | {w for w in in_toxic if score[w] > 0.5 and not in_clean[w]}
+        positive = {w for w in positive if 20 * in_clean[w] * len(toxic) <= in_toxic[w] * len(clean)}
         negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:1500])
         if not positive:
             break
