@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, topk_search, toxicity
+from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, substring_dedup, topk_search, toxicity
 from palimpsest.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_sharding,
         op3_exact_top_k_search,
         op4_simhash_near_dedup,
+        op5_substring_dedup,
         op6_toxicity,
         op7_best_fit_packing,
         op8_quality_rules,
