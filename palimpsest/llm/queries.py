@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, substring_dedup, topk_search, toxicity
+from palimpsest.llm import license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, substring_dedup, topk_search, toxicity
 from palimpsest.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanner = license_scan.trained(spark, table(spark, sf_dir, "benchmark"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), scanner)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_sharding,
         op3_exact_top_k_search,
         op4_simhash_near_dedup,
