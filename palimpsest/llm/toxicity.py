@@ -50,7 +50,7 @@ REMEMBERED = 400_000
 #: Characters: letters of English, and all other letters as one class; 0 stands for marks and digits.
 _CODES = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _OTHER, _SIZE = 27, 28
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\w)")
 #: Longer words are scored in overlapping parts of this length, whole.
 _PART = 24
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
