@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from palimpsest.plans import catalog, catalog_sql
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog_sql.SQL
 ROWS_ONLY = {"rouge_l_scores", "mean_scores_wide"}
 
 
@@ -52,6 +53,10 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= entry.queries().items() and SQL.items() <= entry.oracle_sql().items()
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() == 4
 
