@@ -74,6 +74,33 @@ def generate(
     )
 
 
+def generate_wide(
+    df: DataFrame, prompt_col: str, make_fn: Callable[[], BatchFn], num_samples: int, batch_size: int = 10
+) -> DataFrame:
+    """Add ``response_1..n``: the samples of every row, from one function call per task.
+
+    A sample that fails, and every sample of a null prompt, is null.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = make_fn()
+        for prompts in batches:
+            todo = prompts.dropna()
+            made: dict[int, list[str | None]] = {i: [] for i in todo.index}
+            for _ in range(num_samples):
+                for i in range(0, len(todo), batch_size):
+                    part = todo.iloc[i : i + batch_size]
+                    for at, (reply, _) in zip(part.index, _answer(fn, part.tolist()), strict=True):
+                        made[at].append(reply)
+            yield pd.Series([made.get(i) for i in prompts.index], dtype=object)
+
+    answers = df.withColumn("_replies", replies.asNondeterministic()(F.col(prompt_col)))
+    return answers.select(
+        *df.columns, *(F.get("_replies", F.lit(i)).alias(f"response_{i + 1}") for i in range(num_samples))
+    )
+
+
 def widen_responses(df: DataFrame, keys: Sequence[str], num_samples: int) -> DataFrame:
     """``response_1..n`` beside the keys, one shuffle on the keys."""
     return df.groupBy(*keys).agg(

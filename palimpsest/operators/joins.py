@@ -38,14 +38,16 @@ def override_values(
     """Replace ``col`` by the manual value of the same key; the last duplicate wins.
 
     Manual rows with a null key or value are ignored.  ``flag`` marks replaced rows, so
-    counting them is an aggregate over the result.
+    counting them is an aggregate over the result.  Rows of ``main`` with a null key go round
+    the join, so that they do not meet in one task.
     """
     latest = (
         manual.where(F.col(key).isNotNull() & F.col(col).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(F.struct(F.col(order_col), F.col(col).alias("_value")))["_value"].alias("_manual"))
     )
-    joined = main.join(latest, main[key] == F.col("_key"), "left")
+    joined = main.where(main[key].isNotNull()).join(latest, main[key] == F.col("_key"), "left")
+    joined = joined.unionByName(main.where(main[key].isNull()), allowMissingColumns=True)
     out = joined.withColumn(col, F.coalesce("_manual", col))
     if flag:
         out = out.withColumn(flag, F.col("_manual").isNotNull())

@@ -75,7 +75,7 @@ def fail_reason(s: Column, blank: Column, limits: Limits = Limits()) -> Column:
         .when(
             s["n_alpha_distinct"] < s["n_alpha"] * F.lit(limits.min_distinct_ratio), "low_variety"
         )
-        .when(s["n_common"] / s["n_alpha"] < F.lit(limits.min_common_word_ratio), "few_common_words")
+        .when(F.try_divide(s["n_common"], s["n_alpha"]) < F.lit(limits.min_common_word_ratio), "few_common_words")
     )
 
 

@@ -60,11 +60,11 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a title (repeated for copies, null for short texts), type and year."""
+    """Documents with a title (one for each whole text, null for short ones), type and year."""
     text = F.col("text")
     return documents(spark, sf).select(
         "doc_id",
-        F.when(F.length(text) >= 40, F.substring(text, 1, 40)).alias("title"),
+        F.when(F.length(text) >= 40, F.concat(F.lit("Item "), F.md5(text))).alias("title"),
         F.when(F.col("lang") == "en", "Text")
         .when(F.col("lang") == "fr", "STILL IMAGE")
         .when(F.col("lang") == "de", "still image; text")
@@ -75,6 +75,17 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Items whose transcripts are of every length: the whole text, or another whole column."""
+    kept = items(spark, sf)
+    return kept.withColumn(
+        "transcript",
+        F.when(F.col("type") == "Text", F.col("transcript"))
+        .when(F.col("type") == "STILL IMAGE", F.col("source"))
+        .when(F.col("year") % 2 == 0, F.concat_ws(" of ", "source", "type", "year")),
+    )
+
+
 def manual_items(spark: SparkSession, sf: str) -> DataFrame:
     """The manually cleaned subset: title, value, and position in its file."""
     chosen = labels(spark, sf).where("quality = 1").select("doc_id")
@@ -165,6 +176,34 @@ def json_results(spark, sf):
     return back.na.fill("", ["response", "error"])
 
 
+@query
+def csv_other_order(spark, sf):
+    """Columns are found by name, whatever their order in the file."""
+    path = work_path(spark, "items-csv")
+    docs = documents(spark, sf)
+    csv.write_items_csv(docs.select("text", "n_chars", "source", "doc_id", "lang"), path)
+    return csv.read_items_csv(spark, path, docs.schema)
+
+
+@query
+def required_columns(spark, sf):
+    """Columns of the cleaned table that the raw one lacks."""
+    wanted = ("doc_id", "transcript", "semi_clean_transcript", "lang", "year")
+    missing = tables.require_columns(documents(spark, sf), wanted, on_missing="warn")
+    kept = documents(spark, sf).agg(F.count(F.lit(1)).alias("row_count"))
+    return kept.select(F.explode(F.lit(missing)).alias("column_name"), "row_count")
+
+
+@query
+def schema_difference(spark, sf):
+    """Columns that labels add to the documents, with their types and filled cells."""
+    joined = documents(spark, sf).join(labels(spark, sf), "doc_id")
+    added = {r["column_name"]: r["column_type"] for r in tables.schema_diff(documents(spark, sf), joined).collect()}
+    filled = joined.agg(*(F.count(c).alias(c) for c in added))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("column_type"), F.col(c).alias("filled")) for c, t in added.items()]
+    return filled.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @query
 def report_tables(spark, sf):
     folder = work_path(spark, "report")
@@ -272,16 +311,12 @@ def drop_null_keys(spark, sf):
 
 @query
 def length_buckets(spark, sf):
-    docs = documents(spark, sf).withColumn(
-        "transcript", F.when(F.col("lang") == "de", F.substring_index("text", " ", 1)).otherwise(F.col("text"))
-    )
-    return fields.with_bucket(docs, "transcript").select("doc_id", "bucket")
+    return fields.with_bucket(lengths(spark, sf), "transcript").select("doc_id", "bucket")
 
 
 @query
 def split_by_bucket(spark, sf):
-    docs = documents(spark, sf).withColumn("transcript", F.substring_index("text", " ", 2))
-    parts = fields.split_by_bucket(docs, "transcript")
+    parts = fields.split_by_bucket(lengths(spark, sf), "transcript")
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("bucket", F.lit(b))
         for b, df in parts.items()
@@ -434,8 +469,7 @@ def type_counts(spark, sf):
 
 @query
 def type_counts_by_bucket(spark, sf):
-    short = items(spark, sf).withColumn("transcript", F.substring_index("transcript", " ", 2))
-    return profile.type_counts(fields.with_bucket(short, "transcript"), by=["bucket"])
+    return profile.type_counts(fields.with_bucket(lengths(spark, sf), "transcript"), by=["bucket"])
 
 
 @query
@@ -922,6 +956,14 @@ def unpivoted_models(spark, sf):
     return evaluate.unpivot_models(answered(spark, sf), IDS).select("conv_id", "turn", "model", "response")
 
 
+@query
+def answered_questions(spark, sf):
+    """The whole answering plan over all questions and a copy of each: no row is lost."""
+    asked = questions(spark, sf)
+    twice = asked.union(asked).select("question", "answer")
+    return datasets.answer_questions(twice, stub_model, num_samples=2).na.fill("", ["response_1", "response_2"])
+
+
 @query
 def accuracy_scores(spark, sf):
     return _scored(answered(spark, sf), "answer", IDS)

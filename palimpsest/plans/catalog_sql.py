@@ -147,7 +147,7 @@ body AS (
 cleaned AS (SELECT *, {tidy('b')} AS semi_text FROM body)"""
 
 ITEMS = """items AS (
-  SELECT doc_id, CASE WHEN length(text) >= 40 THEN substr(text, 1, 40) END AS title,
+  SELECT doc_id, CASE WHEN length(text) >= 40 THEN 'Item ' || md5(text) END AS title,
          CASE lang WHEN 'en' THEN 'Text' WHEN 'fr' THEN 'STILL IMAGE' WHEN 'de' THEN 'still image; text' END AS type,
          1935 + doc_id % 20 AS year, text AS transcript, source FROM documents),
 manual AS (
@@ -181,6 +181,13 @@ suggested AS (
 
 SQL["csv_round_trip"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 SQL["csv_plain_round_trip"] = SQL["csv_round_trip"]
+SQL["csv_other_order"] = SQL["csv_round_trip"]
+SQL["required_columns"] = """
+SELECT unnest(['transcript', 'semi_clean_transcript', 'year']) AS column_name, (SELECT count(*) FROM documents) AS row_count"""
+SQL["schema_difference"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'int' AS column_type, count({c}) AS filled FROM documents JOIN labels USING (doc_id)"
+    for c in ("quality", "toxic")
+)
 SQL["json_results"] = """
 SELECT doc_id, CASE WHEN contains(text, 'ß') THEN '' ELSE reverse(text) END AS response,
        CASE WHEN contains(text, 'ß') THEN 'unreadable' ELSE '' END AS error FROM documents"""
@@ -232,14 +239,15 @@ def bucket(t: str) -> str:
     )
 
 
-FIRST_TWO = "array_to_string(string_split(text, ' ')[1:2], ' ')"
-SQL["length_buckets"] = f"""
-SELECT doc_id, {bucket('t')} AS bucket
-FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN string_split(text, ' ')[1] ELSE text END AS t FROM documents)"""
+LENGTHS = """lengths AS (
+  SELECT doc_id, type, CASE WHEN type = 'Text' THEN transcript WHEN type = 'STILL IMAGE' THEN source
+    WHEN year % 2 = 0 THEN concat_ws(' of ', source, type, year) END AS t FROM items)"""
+BUCKETS = f"buckets AS (SELECT doc_id, type, {bucket("coalesce(t, '')")} AS bucket FROM lengths)"
+SQL["length_buckets"] = f"WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT doc_id, bucket FROM buckets"
 SQL["split_by_bucket"] = f"""
-WITH b AS (SELECT {bucket(FIRST_TWO)} AS bucket FROM documents)
+WITH {ITEMS}, {LENGTHS}, {BUCKETS}
 SELECT name AS bucket, count(b.bucket) AS row_count
-FROM unnest(['empty', '1-5', '6-20', 'over_20']) AS n(name) LEFT JOIN b ON b.bucket = name GROUP BY name"""
+FROM unnest(['empty', '1-5', '6-20', 'over_20']) AS n(name) LEFT JOIN buckets b ON b.bucket = name GROUP BY name"""
 SQL["split_by_flag"] = f"""
 WITH {MESSY} SELECT doc_id, CASE WHEN any_messy THEN 'unclean' ELSE 'clean' END AS part FROM flags"""
 SQL["trainable_rows"] = f"""
@@ -304,9 +312,7 @@ TYPES = """count(*) FILTER (lower(type) = 'still image') AS still_image,
   count(*) AS total"""
 SQL["type_counts"] = f"WITH {ITEMS} SELECT {TYPES} FROM items"
 SQL["type_counts_by_bucket"] = f"""
-WITH {ITEMS}, short AS (
-  SELECT type, {bucket("array_to_string(string_split(transcript, ' ')[1:2], ' ')")} AS bucket FROM items)
-SELECT bucket, {TYPES} FROM short GROUP BY bucket"""
+WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT bucket, {TYPES} FROM buckets GROUP BY bucket"""
 SUMMARY_COLUMNS = ", ".join(
     ["count(*) AS total_rows"]
     + [
@@ -614,6 +620,11 @@ SELECT conv_id, turn, sample::INTEGER AS sample, CASE WHEN contains(p, 'ß') THE
 SQL["wide_responses"] = f"""
 WITH {QUESTIONS}, r AS (SELECT *, CASE WHEN contains(question, 'ß') THEN '' ELSE reverse(question) END AS r FROM questions)
 SELECT conv_id, turn, question, answer, r AS response_1, r AS response_2 FROM r"""
+SQL["answered_questions"] = f"""
+WITH {QUESTIONS}, p AS (
+  SELECT question, answer, {template(TEMPLATES['qa'], text='question', system=q(DEFAULT_SYSTEM))} AS p FROM questions, range(2)),
+r AS (SELECT question, answer, CASE WHEN contains(p, 'ß') THEN '' ELSE reverse(p) END AS r FROM p)
+SELECT question, answer, r AS response_1, r AS response_2 FROM r"""
 SQL["cleaned_replies"] = f"""
 WITH {QUESTIONS}, s AS (SELECT conv_id, turn, {strip('answer')} AS s FROM questions)
 SELECT conv_id, turn, s AS after_prompt, s AS after_assistant, s AS unquoted, s AS after_response, s AS no_marker FROM s"""
@@ -674,20 +685,34 @@ js AS (
       + CASE WHEN ph > 0 THEN 0.5::DOUBLE * ph * log2(ph / ((pr + ph) / 2)) ELSE 0 END) AS js
   FROM (SELECT conv_id, turn, model, cr / len(r) AS pr, ch / len(h) AS ph FROM counts JOIN tok USING (conv_id, turn, model)
         WHERE n = 1 AND len(r) > 0 AND len(h) > 0) GROUP BY ALL),
+lcs AS (
+  SELECT conv_id, turn, model, list_reduce(r, lambda row, t: list_reduce(
+      list_transform(range(1, len(h) + 1), lambda j: CASE WHEN h[j] = t THEN 1 + coalesce(row[j - 1], 0) ELSE row[j] END),
+      lambda got, c: list_append(got, greatest(c, coalesce(got[len(got)], 0))), []::BIGINT[]),
+    list_transform(h, lambda x: 0::BIGINT)) AS row
+  FROM (SELECT conv_id, turn, model, list_transform(r, lambda x: x) AS r, h FROM tok)),
 scores AS (
   SELECT conv_id, turn, model,
+    CASE WHEN len(r) + len(h) = 0 THEN 0 ELSE 2 * coalesce(lcs.row[len(lcs.row)], 0) / (len(r) + len(h)) END AS rouge_l,
     CASE WHEN coalesce(k1, 0) = 0 THEN 0 ELSE exp(least(0, 1 - len(r) / len(h)) + lp) END AS bleu,
     CASE WHEN len(r) = 0 AND len(h) = 0 THEN 0 WHEN len(r) = 0 OR len(h) = 0 THEN 1 ELSE js END AS jsd,
     CASE WHEN len(list_distinct(list_concat(r, h))) = 0 THEN 1
       ELSE len(list_intersect(list_distinct(r), list_distinct(h))) / len(list_distinct(list_concat(r, h))) END AS jaccard,
     CASE WHEN greatest(length(ref), length(hyp)) = 0 THEN 1
       ELSE 1 - levenshtein({ascii_only('ref')}, {ascii_only('hyp')}) / greatest(length(ref), length(hyp)) END AS levenshtein
-  FROM tok LEFT JOIN precision USING (conv_id, turn, model) LEFT JOIN js USING (conv_id, turn, model))"""
+  FROM tok LEFT JOIN precision USING (conv_id, turn, model) LEFT JOIN js USING (conv_id, turn, model)
+    LEFT JOIN lcs USING (conv_id, turn, model))"""
 
 
 ROUNDED = ", ".join(f"round({m}::DOUBLE, 6) AS {m}" for m in ("bleu", "jsd", "jaccard", "levenshtein"))
 SQL["accuracy_scores"] = scored("answer", (1, 2, 3)) + f" SELECT conv_id, turn, model, {ROUNDED} FROM scores"
 SQL["consistency_scores"] = scored("response_1", (2, 3)) + f" SELECT conv_id, turn, model, {ROUNDED} FROM scores"
+SQL["rouge_l_scores"] = scored("answer", (1, 2, 3)) + (
+    " SELECT conv_id, turn, model, round(rouge_l::DOUBLE, 6) AS rouge_l FROM scores"
+)
+SQL["mean_scores_wide"] = scored("answer", (1, 2, 3)) + " SELECT model, " + ", ".join(
+    f"round(avg({m}::DOUBLE), 6) AS {m}" for m in ("bleu", "rouge_l", "jsd", "jaccard", "levenshtein")
+) + " FROM scores GROUP BY model"
 SQL["mean_scores"] = scored("answer", (1, 2, 3)) + " " + " UNION ALL ".join(
     f"SELECT model, '{m}' AS metric, round(avg({m}::DOUBLE), 6) AS score FROM scores GROUP BY model"
     for m in ("bleu", "jsd", "jaccard", "levenshtein")

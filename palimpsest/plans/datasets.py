@@ -35,8 +35,15 @@ def answer_questions(
     keys: Sequence[str] = ("question", "answer"),
     partitions: int | None = None,
 ) -> DataFrame:
-    """``response_1..n`` for every question."""
+    """``response_1..n`` for every row; equal rows are asked one by one, and all stay.
+
+    One call takes a row's prompt to all its samples, so nothing is shuffled unless
+    ``partitions`` deals the rows out anew.
+    """
     require_columns(df, keys)
     asked = prompts.build_prompts(df.select(*keys), "question", template)
-    replies = generate.generate(asked, "prompt", make_fn, num_samples, partitions=partitions, key=keys[0])
-    return generate.widen_responses(replies, keys, num_samples)
+    if partitions:
+        asked = asked.repartition(partitions)
+    return generate.generate_wide(asked, "prompt", make_fn, num_samples).select(
+        *keys, *(f"response_{i}" for i in range(1, num_samples + 1))
+    )

@@ -1,4 +1,4 @@
-"""Session-level helpers: the shared work folder and spreading of small inputs."""
+"""Session-level helpers: the shared work folder and the layout of inputs."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+INPUT_PARTITIONS = "spark.palimpsest.inputPartitions"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +32,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input one partition per core before costly text work.
+    """Deal an input out anew into ``spark.palimpsest.inputPartitions`` partitions, where that is set.
 
-    A small file is one block and would be read, and cleaned, by a single task.  Inputs
-    that already have a partition per core, as every large table does, stay as they are.
-    For scans only: counting the partitions of a shuffled result would run its stages.
+    For inputs of one small file, which a single task would read and clean.  Nothing is
+    measured: without the setting, as on large tables, the reader's own splits stay.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    count = df.sparkSession.conf.get(INPUT_PARTITIONS, "")
+    return df.repartition(int(count), *keys) if count else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.parsing import format_list_literal
-from palimpsest.sources.schema import ITEM_SCHEMA
+from palimpsest.sources.schema import ITEM_HEADERS, ITEM_SCHEMA
 
 COMMON = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -18,17 +18,29 @@ def read_items_csv(
     schema: T.StructType | str = ITEM_SCHEMA,
     undouble_backslashes: bool = False,
 ) -> DataFrame:
-    """Scan CSV with a declared schema, columns taken in file order.
+    """Scan CSV with a declared schema; columns are found by the names in the header.
 
-    ``undouble_backslashes`` is for files whose writer escaped every backslash with
+    Headers may be the item table's own (``ITEM_HEADERS``) or the schema's names, in any
+    order; a missing one is an error, others are left out.  All files of a path need the
+    same header, which Spark checks.  ``undouble_backslashes`` is for files whose writer escaped every backslash with
     another one.  Cells may span lines, so one file is one task: keep large exports in
     many files.
     """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    header = spark.read.options(**COMMON, multiLine=True, inferSchema=False).csv(path).columns
+    known = {f.name: f for f in wanted}
+    names = [h if h in known else ITEM_HEADERS.get(h, h) for h in header]
+    if missing := [c for c in known if c not in names]:
+        raise ValueError(f"missing columns {missing}; the file has {header}")
+    in_file = T.StructType(
+        [T.StructField(h, known[n].dataType if n in known else T.StringType()) for h, n in zip(header, names, strict=True)]
+    )
     df = (
-        spark.read.schema(schema)
-        .options(**COMMON, multiLine=True, mode="FAILFAST", enforceSchema=True)
+        spark.read.schema(in_file)
+        .options(**COMMON, multiLine=True, mode="FAILFAST", enforceSchema=False)
         .csv(path)
     )
+    df = df.select(*(F.col(f"`{header[names.index(c)]}`").alias(c) for c in known))
     if undouble_backslashes:
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({c: F.replace(F.col(c), F.lit("\\\\"), F.lit("\\")) for c in texts})

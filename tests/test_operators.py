@@ -46,6 +46,27 @@ def test_csv_of_the_item_table(spark, tmp_path):
     assert row.transcript == 'two "quoted"\nlines \\ end'
 
 
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('b,other,a\n"2",x,"1"\n', encoding="utf-8")
+    assert rows(csv.read_items_csv(spark, str(tmp_path), "a int, b int")) == [(1, 2)]
+    with pytest.raises(ValueError, match="missing"):
+        csv.read_items_csv(spark, str(tmp_path), "a int, c int")
+
+
+def test_override_keeps_rows_with_null_keys(spark):
+    main = spark.createDataFrame([(None if i % 3 == 0 else f"k{i % 5}", i, "old") for i in range(60)], "k string, i int, v string")
+    manual = spark.createDataFrame([("k1", "new", 1), (None, "none", 2)], "k string, v string, o int")
+    got = joins.override_values(main, manual, "k", "v", "o")
+    assert got.columns == ["k", "i", "v", "overridden"] and got.count() == 60
+    assert {(r.k, r.v, r.overridden) for r in got.collect()} >= {(None, "old", False), ("k1", "new", True), ("k2", "old", False)}
+
+
+def test_scores_share_one_exchange_with_python(spark):
+    df = spark.createDataFrame([("a b c", "a c")], "answer string, response string")
+    plan = evaluate.score(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_csv_prints_lists(spark):
     path = work_path(spark, "csv")
     df = spark.createDataFrame([(1, ["l", "o'x"])], "id int, artifacts array<string>")
@@ -460,6 +481,8 @@ def test_dataset_plans(spark):
     df = spark.createDataFrame([("q1", "a1"), ("q2", "a2")], "question string, answer string")
     out = datasets.answer_questions(df, flaky, num_samples=2, template="chat")
     assert out.columns == ["question", "answer", "response_1", "response_2"] and out.count() == 2
+    same = datasets.answer_questions(df.union(df).union(df.limit(1)), flaky, num_samples=2)
+    assert same.count() == 5 and "Exchange hash" not in same._jdf.queryExecution().toString()
     years = spark.createDataFrame([(1, "a", "1939"), (2, "b", "1945")], "item_number int, original_transcript string, year string")
     kept, ids = datasets.select_years(years)
     assert kept.count() == 1 and ids.columns == ["item_number", "original_transcript"]
