@@ -25,19 +25,20 @@ def compare_column(
     chars: Sequence[str] = ENCODING_CHARS,
     row_no: str = "row_no",
     start: int = 0,
+    differences_shown: int = DIFFERENCES_SHOWN,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> dict[str, DataFrame]:
-    """Tables ``summary`` (one row), ``differences`` (first ten) and ``samples`` (first five).
+    """Tables ``summary`` (one row), ``differences`` (the first ``differences_shown``) and
+    ``samples`` (the first ``sample_rows``).
 
     Both inputs are numbered densely from ``start``.  Two nulls are equal.  Exact-match
     figures are filled when the row counts agree, overlap figures when they do not.
     """
     require_columns(a, [col_a, row_no])
     require_columns(b, [col_b, row_no])
-    pairs = zip_rows(
-        a.select(row_no, F.col(col_a).cast("string").alias("value_a"), F.lit(True).alias("in_a")),
-        b.select(row_no, F.col(col_b).cast("string").alias("value_b"), F.lit(True).alias("in_b")),
-        on=row_no,
-    )
+    left = a.select(row_no, F.col(col_a).cast("string").alias("value_a"), F.lit(True).alias("in_a"))
+    right = b.select(row_no, F.col(col_b).cast("string").alias("value_b"), F.lit(True).alias("in_b"))
+    pairs = zip_rows(left, right, on=row_no)
     va, vb = F.col("value_a"), F.col("value_b")
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     same = va.eqNullSafe(vb)
@@ -82,7 +83,9 @@ def compare_column(
         pairs.where(both & ~same)
         .select(row_no, "value_a", "value_b")
         .orderBy(row_no)
-        .limit(DIFFERENCES_SHOWN)
+        .limit(differences_shown)
     )
-    samples = pairs.where(F.col(row_no) < start + SAMPLE_ROWS).select(row_no, "value_a", "value_b")
+    # Both sides are cut to the rows shown before they meet.
+    shown = F.col(row_no) < start + sample_rows
+    samples = zip_rows(left.where(shown), right.where(shown), on=row_no).select(row_no, "value_a", "value_b")
     return {"summary": summary, "differences": differences, "samples": samples}

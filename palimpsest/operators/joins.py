@@ -21,9 +21,17 @@ def restrict_to(main: DataFrame, subset: DataFrame, key: str) -> DataFrame:
     return main.join(keys, _same(main, key, "_key"), "left_semi")
 
 
-def attach(main: DataFrame, right: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Left join bringing ``cols`` across; repeated keys fan out, null matches null."""
+def attach(main: DataFrame, right: DataFrame, key: str, cols: list[str], last_by: str | None = None) -> DataFrame:
+    """Left join bringing ``cols`` across; null matches null.
+
+    Repeated keys fan out: n rows of a key, null included, that meet m rows give n * m.  With
+    ``last_by`` only the right row with the largest value of that column counts for each key,
+    and every row of ``main`` stays one row.
+    """
     lookup = right.select(F.col(key).alias("_key"), *cols)
+    if last_by is not None:
+        top = F.max_by(F.struct(*cols), F.col(last_by)).alias("_row")
+        lookup = right.groupBy(F.col(key).alias("_key")).agg(top).select("_key", *(F.col("_row")[c].alias(c) for c in cols))
     return main.join(lookup, _same(main, key, "_key"), "left").drop("_key")
 
 

@@ -11,12 +11,12 @@ MANIFEST_SCHEMA = (
     "resource: struct<service: struct<`@id`: string>>>>>>>>"
 )
 IMAGE_REQUEST = "/full/pct:100/0/default.jpg"
-MANIFEST_PATH = "/iiif/info/{collection}/{item}/manifest.json"
+MANIFEST_HEAD, MANIFEST_TAIL = "/iiif/info/", "/manifest.json"
 
 
 def manifest_url(base_url: str, collection: str, item: Column) -> Column:
-    head, tail = MANIFEST_PATH.format(collection=collection, item="|").split("|")
-    return F.concat(F.lit(base_url.rstrip("/") + head), item.cast("bigint").cast("string"), F.lit(tail))
+    head = f"{base_url.rstrip('/')}{MANIFEST_HEAD}{collection}/"
+    return F.concat(F.lit(head), item.cast("bigint").cast("string"), F.lit(MANIFEST_TAIL))
 
 
 def plan_page_images(

@@ -46,6 +46,14 @@ def test_csv_of_the_item_table(spark, tmp_path):
     assert row.transcript == 'two "quoted"\nlines \\ end'
 
 
+def test_attach_without_fan_out(spark):
+    main = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, i int")
+    right = spark.createDataFrame([(None, "x", 1), (None, "y", 2), ("a", "z", 1)], "k string, v string, o int")
+    assert joins.attach(main, right, "k", ["v"]).count() == 5
+    got = joins.attach(main, right, "k", ["v"], last_by="o")
+    assert sorted((r.i, r.v) for r in got.collect()) == [(1, "y"), (2, "y"), (3, "z")]
+
+
 def test_csv_columns_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text('b,other,a\n"2",x,"1"\n', encoding="utf-8")
     assert rows(csv.read_items_csv(spark, str(tmp_path), "a int, b int")) == [(1, 2)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import patterns as P
 from palimpsest.functions import text as X
 
+# The plain patterns, the expected side of the comparison.
 PY = {
     "special": r"""[^a-zA-Z0-9\s.,!?;:\'"()\-_/]{2,}""",
     "repeat": r"\b\w*([a-zA-Z])\1{2,}\w*\b",
