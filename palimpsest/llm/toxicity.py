@@ -53,6 +53,8 @@ _OTHER, _SIZE = 27, 28
 _SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\w)")
 #: Longer words are scored in overlapping parts of this length, whole.
 _PART = 24
+#: Words whose features are worked out at once.
+_CHUNK = 4000
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 
 
@@ -179,8 +181,8 @@ class _Vocabulary:
         parts = [(i, p) for i, w in enumerate(words) for p in _parts(w)]
         self.owner = np.array([i for i, _ in parts], np.int32)
         self.count = len(parts)
-        made = [features([p for _, p in parts[lo : lo + 20_000]]) for lo in range(0, len(parts), 20_000)]
-        self.row = np.concatenate([r.astype(np.int32) + 20_000 * k for k, (r, _, _) in enumerate(made)])
+        made = [features([p for _, p in parts[lo : lo + _CHUNK]]) for lo in range(0, len(parts), _CHUNK)]
+        self.row = np.concatenate([r.astype(np.int32) + _CHUNK * k for k, (r, _, _) in enumerate(made)])
         self.key = np.concatenate([k.astype(np.int32) for _, k, _ in made])
         self.weight = np.concatenate([w.astype(np.float32) for _, _, w in made])
 
