@@ -214,6 +214,31 @@ def report_tables(spark, sf):
     return spark.read.parquet(f"{folder}/summary")
 
 
+@query
+def report_details(spark, sf):
+    """The detail table of the report, as read back."""
+    folder = work_path(spark, "report")
+    tables.write_tables({"metadata": messy_rows(spark, sf)}, folder)
+    return spark.read.parquet(f"{folder}/metadata")
+
+
+@query
+def bucket_files(spark, sf):
+    """Items written by length bucket and read back from the folders."""
+    path = work_path(spark, "buckets")
+    fields.write_by_bucket(lengths(spark, sf).select("doc_id", "transcript"), "transcript", path)
+    return spark.read.parquet(path).select("doc_id", "bucket")
+
+
+@query
+def listed_files(spark, sf):
+    """Buckets whose files are found by a listing of the written folders."""
+    path = work_path(spark, "buckets")
+    fields.write_by_bucket(lengths(spark, sf).select("doc_id", "transcript"), "transcript", path)
+    found = manifests.existing_files(spark, path, "*.parquet")
+    return found.select(F.regexp_extract("path", "bucket=([^/]+)/", 1).alias("bucket")).distinct()
+
+
 @query
 def variant_tables(spark, sf):
     parts = tables.variant_tables(
@@ -905,6 +930,17 @@ def corrected_columns(spark, sf):
     return out.select("doc_id", "text_cleaned", F.coalesce("source_cleaned", F.lit("")).alias("source_cleaned"))
 
 
+def stub_tokenizer():
+    """A deterministic stand-in for a tokenizer: the length of every blank-separated word."""
+    return lambda texts: [[len(w) for w in t.split(" ")] for t in texts]
+
+
+@query
+def token_rows(spark, sf):
+    rows = generate.token_ids(documents(spark, sf).select("doc_id", "text"), "text", stub_tokenizer)
+    return rows.select("doc_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+
+
 @query
 def packed_tokens(spark, sf):
     ids = F.transform(X.tokens(F.col("text")), lambda w: F.length(w) * 1000 + F.ascii(w) % 1000)

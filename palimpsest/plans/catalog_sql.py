@@ -244,6 +244,8 @@ LENGTHS = """lengths AS (
     WHEN year % 2 = 0 THEN concat_ws(' of ', source, type, year) END AS t FROM items)"""
 BUCKETS = f"buckets AS (SELECT doc_id, type, {bucket("coalesce(t, '')")} AS bucket FROM lengths)"
 SQL["length_buckets"] = f"WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT doc_id, bucket FROM buckets"
+SQL["bucket_files"] = SQL["length_buckets"]
+SQL["listed_files"] = f"WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT DISTINCT bucket FROM buckets"
 SQL["split_by_bucket"] = f"""
 WITH {ITEMS}, {LENGTHS}, {BUCKETS}
 SELECT name AS bucket, count(b.bucket) AS row_count
@@ -434,6 +436,7 @@ WITH {MESSY} SELECT doc_id, array_to_string(g, '¦') AS messy_sequences, array_t
   length(array_to_string(g, ''))::INTEGER AS total_messy_chars, len(s)::INTEGER AS special_messy_count, has_special_messy,
   length(array_to_string(s, ''))::INTEGER AS total_special_messy_chars, len(r)::INTEGER AS repeat_sequence_count,
   has_repeat_sequence, any_messy FROM flags"""
+SQL["report_details"] = SQL["messy_rows"]
 SQL["remove_patterns_a"] = f"SELECT doc_id, {remove_general(remove_special(collapse('text')))} AS text FROM documents"
 SQL["remove_patterns_b"] = f"SELECT doc_id, {collapse(remove_general(remove_special('text')))} AS text FROM documents"
 squeezed = "text"
@@ -631,6 +634,8 @@ SELECT conv_id, turn, s AS after_prompt, s AS after_assistant, s AS unquoted, s
 SQL["corrected_columns"] = """
 SELECT doc_id, CASE WHEN contains(text, 'ß') THEN text ELSE reverse(text) END AS text_cleaned,
   CASE WHEN lang = 'fr' THEN '' WHEN contains(source, 'ß') THEN source ELSE reverse(source) END AS source_cleaned FROM documents"""
+SQL["token_rows"] = """
+SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)::VARCHAR), ' ') AS tokens FROM documents"""
 SQL["packed_tokens"] = f"""
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{TOKEN}')[1:256],
     lambda w: (length(w) * 1000 + unicode(w) % 1000)::VARCHAR) AS l FROM documents),
