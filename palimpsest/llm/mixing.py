@@ -59,7 +59,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logisti
     # At most ``sample`` rows of two numbers: small enough to broadcast at any input size.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = stored(rows.select("label", "text"), "mixing-sample")
+    # A bounded sample needs few parts; the learner sends a vector of all weights for each of them.
+    rows = stored(rows.select("label", "text").repartition(8), "mixing-sample")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return [1.0 if k in counts else 0.0 if counts else 1 / len(DOMAINS) for k in range(len(DOMAINS))]
