@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated line runs; ``n_chars`` is counted anew where a text changed."""
-    done = line_dedup.remove_repeated_runs(docs)
+    """Documents without repeated lines; ``n_chars`` is counted anew where a text changed."""
+    done = line_dedup.remove_repeated_lines(docs)
     n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n.cast("long")).select(docs.columns)
 

@@ -2,7 +2,9 @@
 
 import random
 
+import corpus_pipeline as P
 from palimpsest.llm import line_dedup as L
+from palimpsest.llm import queries as Q
 
 
 def plain(rows, length=L.GRAM + L.WINDOW - 1):
@@ -48,3 +50,16 @@ def test_passage_in_a_third_of_all_documents(frame):
     rows = [(i, f"own {i}\n{passage}\nend {i}" if i % 3 == 0 else f"text {i}") for i in range(600)]
     texts = got(frame(rows))
     assert texts == plain(rows) and texts[0].count("another") == 1 and texts[3] == "own 3\nend 3"
+
+
+def test_one_line_between_other_neighbours(frame, docs, spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"before {i}\n{long}\n\nafter {i}\nlast {i}\na pair\nof lines") for i in range(20)]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in Q.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert texts[0] == rows[0][1] and texts == plain(rows, 1)
+    assert all(texts[i] == f"before {i}\n\nafter {i}\nlast {i}" for i in range(1, 20))
+    staged = P.lines(spark, frame(rows), str(tmp_path)).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in staged} == {i: (t, len(t)) for i, t in texts.items()}
+    kept = {r.doc_id: r.text for r in L.remove_repeated_lines(docs).collect()}
+    assert kept == plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 1)
