@@ -8,7 +8,7 @@ nonnegative rates r are sought for which the expected token totals, the sums of
 
 All rates start at 1.  Each step aggregates the totals and the posteriors' Gram matrix of the
 documents whose rate is not at a bound (a dozen numbers), solves for the gradient in that metric on
-the driver, and every document follows it, cut at zero and at ``MOST``.  A document's rate is thus a short formula of
+the driver, and every document follows it, cut at zero (and at a bound, if one is given).  A document's rate is thus a short formula of
 its posteriors, so nothing is joined or shuffled but the sums.
 """
 
@@ -26,8 +26,8 @@ from palimpsest.llm.common import stored, words
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of the tokens that each domain shall have in the mixture.
-TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
-#: A document is repeated so many times at most; a scarce domain then falls short of its target.
+TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
+#: A bound for rates where one is asked for; a scarce domain may then fall short of its target.  Query and pipeline have none.
 MOST = 4.0
 #: Labelled documents to learn from, at most: those with the smallest hash of their id.
 SAMPLE = 6000
@@ -149,27 +149,42 @@ def copies(r: Column, *identity: Column) -> Column:
     return (F.floor(r) + F.when(draw < r - F.floor(r), 1).otherwise(0)).cast("long")
 
 
-def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """One row per document: ``doc_id``, ``tokens``, posteriors by domain, ``rate`` and ``copies``.
+def mixed_rates(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = math.inf
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``tokens``, posteriors by domain, ``rate``, ``copies`` and the shares.
 
     Tokens are words.  Null and blank texts have none and the posteriors of no words.  Rows equal
-    in id and text get equal rates and copies.  Other columns are ignored.
+    in id and text get equal rates and copies.  ``target_*`` and ``reached_*``, alike in all rows, are
+    the share of the tokens that each domain shall have and the one that the rates give it (null
+    without tokens).  ``most`` bounds the rates.  Other columns are ignored.
     """
     model = trained(docs, labels)
     rows = stored(posteriors(docs, model, F.col("doc_id"), F.xxhash64("text").alias("h")), "posteriors")
-    r = rate(fitted_steps(rows, targets))
+    steps = fitted_steps(rows, targets, most=most)
+    got = reached(rows, steps, most)
+    weights = sum(targets.values())
     named = [F.col(f"p_{k}").alias(f"p_{name}") for k, name in enumerate(DOMAINS)]
-    made = rows.withColumn("rate", r)
+    shares = [c for k, name in enumerate(DOMAINS) for c in (
+        F.lit(targets[name] / weights).alias(f"target_{name}"), F.lit(got[k]).cast("double").alias(f"reached_{name}"))]
+    made = rows.withColumn("rate", rate(steps, most))
     return made.select(
-        "doc_id", F.col("n").alias("tokens"), *named, "rate", copies(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies")
+        "doc_id", F.col("n").alias("tokens"), *named, "rate", copies(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies"), *shares
     )
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def reached(rows: DataFrame, steps: list[list[float]], most: float = math.inf) -> list[float | None]:
+    """Each domain's share of the tokens of ``rows(n, p_*)`` before mixing, under the rates."""
+    sums = [F.sum(F.col("n") * F.col("r") * F.col(f"p_{k}")) for k in range(len(DOMAINS))]
+    total, *got = rows.withColumn("r", rate(steps, most)).agg(F.sum("n"), *sums).first()
+    return [v / total if total else None for v in got]
+
+
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = math.inf) -> DataFrame:
     """The documents, each repeated by its whole copies (none: it goes); same columns."""
     model = trained(docs, labels)
     rows = stored(posteriors(docs, model), "posteriors")
-    r = rate(fitted_steps(rows, targets))
+    r = rate(fitted_steps(rows, targets, most=most), most)
     found = posteriors(docs, model, F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
     n = copies(r, F.col("row.doc_id"), F.col("h"))
     found = found.select("row", n.alias("copies"))

@@ -31,6 +31,18 @@ def test_scarce_domain_ends_at_the_bound(spark):
     assert M.fitted_steps(df.limit(0)) == []
 
 
+def test_scarce_domain_reaches_its_target_without_a_bound(spark, frame):
+    df = spark.createDataFrame([(10, 1.0, 0.0, 0.0)] * 50 + [(1, 0.0, 1.0, 0.0)], "n long, p_0 double, p_1 double, p_2 double")
+    steps = M.fitted_steps(df, {"clean": 0.5, "low": 0.5, "toxic": 0.0}, most=np.inf)
+    assert M.reached(df, steps) == pytest.approx([0.5, 0.5, 0.0], abs=0.01)
+    rows = [(i, "good words in here") for i in range(60)] + [(60, "poor text")]
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(61)], "doc_id long, quality int, toxic int")
+    got = M.mixed_rates(frame(rows), labels, {"clean": 0.7, "low": 0.3, "toxic": 0.0}).collect()
+    assert max(r.rate for r in got) > M.MOST and got[0].target_low == pytest.approx(0.3)
+    assert got[0].reached_low == pytest.approx(sum(r.tokens * r.rate * r.p_low for r in got) / sum(r.tokens for r in got))
+    assert got[0].reached_low == pytest.approx(0.3, abs=0.01)
+
+
 def test_rates_and_mixture(docs, labels):
     rates = M.mixed_rates(docs, labels).collect()
     assert len(rates) == docs.count()
