@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import license_scan, line_dedup, mixing, packing, quality_rules, sharding, simhash_dedup, substring_dedup, topk_search, toxicity
+from palimpsest.llm import (
+    byte_bpe,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    periodic_runs,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    source_divergence,
+    substring_dedup,
+    topk_search,
+    toxicity,
+)
 from palimpsest.llm.common import table
 
 
@@ -58,6 +72,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, a tenth of them with a repetition planted by the rule of ``looped``."""
+    return periodic_runs.detected(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_line_dedup,
         op10_mixing,
+        op11_source_divergence,
+        op12_periodic_runs,
+        op13_byte_bpe,
     )
 }
 SQL: dict[str, str] = {
@@ -88,4 +119,42 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), o AS (
+            SELECT doc, lang, source, unnest(terms) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*)::HUGEINT AS c FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+        ), l AS (
+            SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY lang
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS c FROM o JOIN k USING (lang, term) GROUP BY ALL
+        ), n AS (
+            SELECT g.lang, g.source, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+        ), p AS (
+            SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+                   1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (n.n + l.v) AS p,
+                   1 + (1000000000 * (k.c + 1)) // (l.n + l.v) AS q
+            FROM n JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
