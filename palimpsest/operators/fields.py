@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
@@ -41,6 +41,19 @@ def write_by_bucket(df: DataFrame, col: str, path: str, mode: str = "errorifexis
     with_bucket(df, col).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
+def bucket_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of ``write_by_bucket``, each read from its own folder alone."""
+    written = spark.read.parquet(path)
+    return {b: written.where(F.col("bucket") == b) for b in BUCKETS}
+
+
+def bucket_counts(df: DataFrame, col: str) -> DataFrame:
+    """Rows of each length bucket, those without rows included, from one aggregate."""
+    bucket = X.length_bucket(F.col(col))
+    counts = df.agg(*(F.count_if(bucket == b).alias(b) for b in BUCKETS))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(b).alias("bucket"), F.col(f"`{b}`").alias("row_count")) for b in BUCKETS))))
+
+
 def split_by_flag(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
     """(rows without the flag, rows with it)."""
     return df.where(~F.col(flag)), df.where(F.col(flag))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import patterns as P
 from palimpsest.functions import text as X
 from palimpsest.functions.rounding import round_ratio
+from palimpsest.sources.tables import write_observed
 
 # Issue names in report order, and item types counted by name.
 ISSUE_SPECIAL = "Special Char Artifacts"
@@ -179,7 +180,14 @@ def flag_overlap(df: DataFrame) -> DataFrame:
 
 def summary_table(df: DataFrame, flag: str = "has_messy") -> DataFrame:
     """``(metric, value)`` rows for a report sheet, values as text."""
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("m"))
+    return _summary_rows(df.agg(*(c.alias(k) for k, c in summary_metrics(flag).items())))
+
+
+def summary_metrics(flag: str = "has_messy") -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "m": F.count_if(F.col(flag))}
+
+
+def _summary_rows(counts: DataFrame) -> DataFrame:
     percent = F.coalesce(round_ratio(F.col("m"), F.col("n"), 1, 100), F.lit(0.0))
     values = {
         "Total Rows": F.col("n").cast("string"),
@@ -192,6 +200,16 @@ def summary_table(df: DataFrame, flag: str = "has_messy") -> DataFrame:
     )
 
 
+def write_report(details: DataFrame, folder: str, flag: str = "has_messy", mode: str = "errorifexists") -> None:
+    """Tables ``metadata`` (the details) and ``summary`` under ``folder``, the details worked out once.
+
+    The summary's counts are gathered while the details are written.
+    """
+    counts = write_observed(details, f"{folder}/metadata", summary_metrics(flag), mode)
+    row = details.sparkSession.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in counts.items()))
+    _summary_rows(row).write.mode(mode).parquet(f"{folder}/summary")
+
+
 def type_counts(df: DataFrame, col: str = "type", by: Sequence[str] = ()) -> DataFrame:
     """Rows per item type, compared in lower case; everything else, null included, is other."""
     kind = F.coalesce(F.lower(F.col(col)), F.lit(""))

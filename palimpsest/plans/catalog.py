@@ -9,6 +9,7 @@ items.  All queries read whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,14 @@ from palimpsest.operators import (
     profile,
     prompts,
     quality,
+    resumable,
     row_identity,
     spelling,
     tasks,
 )
 from palimpsest.plans import cleaning, datasets
 from palimpsest.session import spread, work_path
-from palimpsest.sources import csv, manifests, tables
+from palimpsest.sources import csv, ledger, manifests, tables
 from palimpsest.streaming.incremental import clean_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +148,17 @@ def stub_model() -> generate.BatchFn:
     return reply
 
 
+def half_down_model() -> generate.BatchFn:
+    """The stand-in with every second prompt, by its length, lost."""
+
+    def reply(batch: list[str]) -> list[str]:
+        if any(len(p) % 2 for p in batch):
+            raise ConnectionError("down")
+        return stub_model()(batch)
+
+    return reply
+
+
 # -- sources and sinks --------------------------------------------------------------------
 
 
@@ -157,6 +170,15 @@ def csv_round_trip(spark, sf):
     return csv.read_items_csv(spark, path, docs.schema)
 
 
+@query
+def csv_by_ranges(spark, sf):
+    """Files of multi-line cells, cut into ranges and read by many tasks."""
+    path = work_path(spark, "items-csv")
+    docs = documents(spark, sf)
+    csv.write_items_csv(docs, path)
+    return csv.read_items_csv(spark, path, docs.schema, by_ranges=True)
+
+
 @query
 def csv_plain_round_trip(spark, sf):
     path = work_path(spark, "items-csv")
@@ -207,10 +229,7 @@ def schema_difference(spark, sf):
 @query
 def report_tables(spark, sf):
     folder = work_path(spark, "report")
-    details = messy(spark, sf)
-    tables.write_tables(
-        {"metadata": details.drop("text"), "summary": profile.summary_table(details)}, folder
-    )
+    profile.write_report(messy(spark, sf).drop("text"), folder)
     return spark.read.parquet(f"{folder}/summary")
 
 
@@ -277,6 +296,20 @@ def pending_pages(spark, sf):
     return manifests.pending_pages(plan, existing)
 
 
+@query
+def pending_by_ledger(spark, sf):
+    """Pages that no run recorded: two runs that overlap, a compaction, and a third."""
+    folder = work_path(spark, "ledger")
+    made = _manifests(spark, sf)
+    plan = manifests.plan_page_images(made, "documents/scans")
+    done = manifests.plan_page_images(made.where(F.col("url").startswith("https")), "documents/scans")
+    ledger.append(done.where("page < 3"), folder, "a")
+    ledger.append(done.where("page = 1"), folder, "b")
+    ledger.compact(spark, folder)
+    ledger.append(done.where("page > 1"), folder, "c")
+    return ledger.pending(plan, folder)
+
+
 # -- fields -------------------------------------------------------------------------------
 
 
@@ -341,15 +374,16 @@ def length_buckets(spark, sf):
 
 @query
 def split_by_bucket(spark, sf):
-    parts = fields.split_by_bucket(lengths(spark, sf), "transcript")
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("bucket", F.lit(b))
-        for b, df in parts.items()
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return fields.bucket_counts(lengths(spark, sf), "transcript")
+
+
+@query
+def bucket_parts(spark, sf):
+    """Buckets written once, each read from its own folder."""
+    path = work_path(spark, "buckets")
+    fields.write_by_bucket(lengths(spark, sf).select("doc_id", "transcript"), "transcript", path)
+    parts = [df.select("doc_id", F.lit(b).alias("bucket")) for b, df in fields.bucket_tables(spark, path).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -452,6 +486,15 @@ def missing_keys(spark, sf):
     return joins.missing_keys(manual, main, "title")
 
 
+@query
+def file_row_numbers(spark, sf):
+    """Numbers by file and place in it, of a table written in the order of its ids."""
+    path = work_path(spark, "numbered")
+    docs = documents(spark, sf).select("doc_id", "lang")
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return row_identity.with_file_row_no(spark.read.parquet(path))
+
+
 @query
 def updated_sample(spark, sf):
     return joins.updated_sample(
@@ -557,19 +600,16 @@ def all_null_rows(spark, sf):
     return fields.all_null_rows(gone).agg(F.count(F.lit(1)).alias("null_rows"))
 
 
-def _numbered(spark, sf):
+def _compared(spark, sf, flagged=None):
+    """Original against semi-clean transcripts, numbered as digests in the order of their ids."""
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("transcript"))
-    return row_identity.with_row_no(docs, ["doc_id"], start=0)
-
-
-def _compared(spark, sf):
-    """Original against semi-clean transcripts, numbered once before the costly cleaning."""
-    done = cleaning.clean_items(_numbered(spark, sf), date=None)
+    semi = cleaned(spark, sf)
     return compare.compare_column(
-        done.select("row_no", "original_transcript"),
-        done.select("row_no", "semi_clean_transcript"),
-        "original_transcript",
+        docs,
+        (semi.where(flagged) if flagged else semi).select("doc_id", "semi_clean_transcript"),
+        "transcript",
         "semi_clean_transcript",
+        order_by=["doc_id"],
     )
 
 
@@ -594,13 +634,7 @@ def compare_samples(spark, sf):
 
 @query
 def compare_unequal_tables(spark, sf):
-    flagged = cleaned(spark, sf).where("general_pattern").select("doc_id", "semi_clean_transcript")
-    out = compare.compare_column(
-        cleaning.add_fields(_numbered(spark, sf), date=None),
-        row_identity.with_row_no(flagged, ["doc_id"], start=0),
-        "original_transcript",
-        "semi_clean_transcript",
-    )["summary"]
+    out = _compared(spark, sf, "general_pattern")["summary"]
     return out.select(
         "rows_a", "rows_b", "rows_match", "exact_matches_overlap",
         F.round("exact_match_rate_overlap", 9).alias("exact_match_rate_overlap"),
@@ -895,6 +929,17 @@ def generated_replies(spark, sf):
     return replies.drop("prompt").na.fill("", ["response", "error"])
 
 
+@query
+def resumed_replies(spark, sf):
+    """The replies of a job that failed for half its prompts and was run again."""
+    folder = work_path(spark, "replies")
+    asked = prompts.build_prompts(questions(spark, sf), "question", "qa").select("conv_id", "turn", "prompt")
+    resumable.ask_missing(asked, "prompt", half_down_model, folder, num_samples=3)
+    resumable.ask_missing(asked, "prompt", stub_model, folder, num_samples=3, batches=2)
+    replies = resumable.with_replies(asked, "prompt", folder, num_samples=3)
+    return replies.drop("prompt").na.fill("", ["response", "error"])
+
+
 @query
 def wide_responses(spark, sf):
     asked = questions(spark, sf).select("conv_id", "turn", "question", "answer")

@@ -181,6 +181,7 @@ suggested AS (
 
 SQL["csv_round_trip"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 SQL["csv_plain_round_trip"] = SQL["csv_round_trip"]
+SQL["csv_by_ranges"] = SQL["csv_round_trip"]
 SQL["csv_other_order"] = SQL["csv_round_trip"]
 SQL["required_columns"] = """
 SELECT unnest(['transcript', 'semi_clean_transcript', 'year']) AS column_name, (SELECT count(*) FROM documents) AS row_count"""
@@ -210,6 +211,7 @@ SQL["page_image_plan"] = f"WITH {PLAN} SELECT item_id, page, img_url, path FROM
 SQL["pending_pages"] = (
     f"WITH {PLAN} SELECT path, item_id, page, img_url FROM plan WHERE NOT starts_with(url, 'https')"
 )
+SQL["pending_by_ledger"] = SQL["pending_pages"]
 
 # -- fields -------------------------------------------------------------------------------
 
@@ -245,6 +247,7 @@ LENGTHS = """lengths AS (
 BUCKETS = f"buckets AS (SELECT doc_id, type, {bucket("coalesce(t, '')")} AS bucket FROM lengths)"
 SQL["length_buckets"] = f"WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT doc_id, bucket FROM buckets"
 SQL["bucket_files"] = SQL["length_buckets"]
+SQL["bucket_parts"] = SQL["length_buckets"]
 SQL["listed_files"] = f"WITH {ITEMS}, {LENGTHS}, {BUCKETS} SELECT DISTINCT bucket FROM buckets"
 SQL["split_by_bucket"] = f"""
 WITH {ITEMS}, {LENGTHS}, {BUCKETS}
@@ -266,6 +269,7 @@ SELECT doc_id, regexp_replace(replace(regexp_replace(text, '^The ', 'THE½ '), '
 FROM documents"""
 SQL["row_numbers"] = """
 SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) + 1 AS row_no FROM documents"""
+SQL["file_row_numbers"] = "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) + 1 AS row_no FROM documents"
 SQL["example_rows"] = f"""
 WITH {MESSY} SELECT doc_id, len(g)::INTEGER AS sequence_count, array_to_string(g, '¦') AS sequences,
   substr(text, 1, 100) || '...' AS preview FROM flags WHERE has_messy ORDER BY doc_id LIMIT 10"""
@@ -620,6 +624,7 @@ WITH {QUESTIONS}, p AS (
   SELECT conv_id, turn, {template(TEMPLATES['qa'], text='question', system=q(DEFAULT_SYSTEM))} AS p FROM questions)
 SELECT conv_id, turn, sample::INTEGER AS sample, CASE WHEN contains(p, 'ß') THEN '' ELSE reverse(p) END AS response,
   CASE WHEN contains(p, 'ß') THEN 'unreadable' ELSE '' END AS error FROM p, unnest([1, 2, 3]) AS s(sample)"""
+SQL["resumed_replies"] = SQL["generated_replies"]
 SQL["wide_responses"] = f"""
 WITH {QUESTIONS}, r AS (SELECT *, CASE WHEN contains(question, 'ß') THEN '' ELSE reverse(question) END AS r FROM questions)
 SELECT conv_id, turn, question, answer, r AS response_1, r AS response_2 FROM r"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +42,13 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, mode: str = "erro
         df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+def write_observed(df: DataFrame, path: str, metrics: Mapping[str, Column], mode: str = "errorifexists") -> dict[str, object]:
+    """Write one Parquet table and return aggregates of the rows, gathered while they are written."""
+    seen = Observation(f"written {uuid.uuid4().hex}")
+    df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.mode(mode).parquet(path)
+    return seen.get
+
+
 def variant_tables(
     df: DataFrame, variants: Mapping[str, str], name: str = "transcript"
 ) -> dict[str, DataFrame]:
