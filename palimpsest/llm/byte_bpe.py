@@ -21,7 +21,7 @@ import heapq
 import re
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,7 +35,7 @@ REMEMBERED = 300_000
 #: Characters of a piece or word above which it is not remembered.
 LONGEST = 64
 #: Characters after which a text is cut at the next certain place.
-SECTION = 1 << 20
+SECTION = 1 << 22
 
 #: Blanks beyond these four send a section to the pattern whole.
 _OTHER_BLANKS = regex.compile(r"[\s--[ \t\n\r]]", regex.V1)
@@ -102,31 +102,111 @@ class Codec:
     def replayed(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word: all merges in the order of their ranks, each at all its places."""
         starts = list(accumulate(map(len, words), initial=0))
-        first = np.array(self._bytes, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
-        n = len(first)
+        replay = _Replay(np.array(self._bytes, np.int64)[np.frombuffer(b"".join(words), np.uint8)], starts, self._pairs, self._rank)
+        replay.run()
+        kept = replay.ids >= 0
+        ends = np.concatenate([[0], kept.cumsum()])[starts].tolist()
+        raw = replay.ids[kept].astype("<u4").tobytes()
+        out = [raw[4 * a : 4 * z] for a, z in zip(ends, ends[1:], strict=False)]
+        for i in {bisect_right(starts, place) - 1 for place in replay.astray}:
+            out[i] = self._alone(words[i])
+        return out
+
+    def _alone(self, word: bytes) -> bytes:
+        """The ids of one word: always the leftmost pair of the lowest rank."""
+        ids = [self._bytes[b] for b in word]
+        while True:
+            ranks = (self._rank(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False))
+            best = min(((r, i) for i, r in enumerate(ranks) if r >= 0), default=None)
+            if best is None:
+                return np.array(ids, "<u4").tobytes()
+            ids[best[1] : best[1] + 2] = [best[0]]
+
+
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """Sorted places without repeats."""
+    places.sort()
+    return places[np.concatenate([[True], places[1:] != places[:-1]])]
+
+
+class _Replay:
+    """Words laid end to end, with the inverted index from ranks to the places they would merge."""
+
+    def __init__(self, ids: np.ndarray, starts: list[int], pairs: dict[int, int], learn: Callable[[int], int]) -> None:
+        n = len(ids)
+        self.ids, self.pairs, self.learn = ids, pairs, learn
         # The next and the last place of a token of the same word, or -1.
-        next_place, last_place = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
         edges = [(a, z - 1) for a, z in zip(starts, starts[1:], strict=False) if a < z]
-        last_place[[a for a, _ in edges]] = -1
-        next_place[[z for _, z in edges]] = -1
-        ids, after, before = first.tolist(), next_place.tolist(), last_place.tolist()
-        # Places of the left neighbour by the rank that would merge the pair, and that rank by place.
-        left = np.flatnonzero(next_place >= 0)
-        kinds, kind = np.unique(first[left] << 32 | first[left + 1], return_inverse=True)
-        ranks = np.array([self._rank(pair) for pair in kinds.tolist()], np.int64)
-        order = np.argsort(kind, kind="stable")
-        groups = np.split(left[order], np.searchsorted(kind[order], np.arange(1, len(kinds))))
-        places: dict[int, list[int]] = defaultdict(list)
-        for rank, group in zip(ranks.tolist(), groups, strict=False):
-            if rank >= 0:
-                places[rank] += group.tolist()
-        waits = np.full(n, -1, np.int64)
-        waits[left] = ranks[kind]
-        opens = waits.tolist()
-        queue = list(places)
-        heapq.heapify(queue)
-        astray: set[int] = set()
-        known, learn = self._pairs.get, self._rank
+        self.before[[a for a, _ in edges]] = -1
+        self.after[[z for _, z in edges]] = -1
+        # The rank that waits at each place for it and the next, or -1.
+        self.opens = np.full(n, -1, np.int64)
+        self.places: dict[int, list] = defaultdict(list)
+        self.queue: list[int] = []
+        self.astray: set[int] = set()
+        self._enter(np.flatnonzero(self.after >= 0), -1)
+
+    def run(self) -> None:
+        """Ranks with many places come first; once they are few, plain lists are faster."""
+        few = 0
+        while self.queue and few < 64:
+            few = few + 1 if self._merge(heapq.heappop(self.queue)) < 24 else 0
+        if self.queue:
+            self._run_lists()
+
+    def _enter(self, touched: np.ndarray, now: int) -> None:
+        """Looks up the pairs at the touched places and enters those that a rank merges."""
+        if not len(touched):
+            return
+        keys = self.ids[touched] << 32 | self.ids[self.after[touched]]
+        order = np.argsort(keys, kind="stable")
+        keys, touched = keys[order], touched[order]
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        edges = [0, *cuts.tolist(), len(keys)]
+        kinds = keys[edges[:-1]].tolist()
+        ranks = [self.pairs[p] if p in self.pairs else self.learn(p) for p in kinds]
+        self.opens[touched] = np.repeat(ranks, np.diff(edges))
+        groups = [touched[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+        for rank, group in zip(ranks, groups, strict=True):
+            if rank > now:
+                if rank not in self.places:
+                    heapq.heappush(self.queue, rank)
+                self.places[rank].append(group)
+            elif rank >= 0:
+                self.astray.update(group.tolist())
+
+    def _merge(self, rank: int) -> int:
+        """Applies one rank at all its places."""
+        ids, after, before, opens = self.ids, self.after, self.before, self.opens
+        at = _distinct(np.concatenate(self.places.pop(rank)))
+        at = at[opens[at] == rank]
+        if (opens[after[at]] == rank).any():
+            # Pairs that share a token: the leftmost merges.
+            gone: set[int] = set()
+            at = np.array([i for i in at.tolist() if i not in gone and not gone.add(int(after[i]))], np.int64)
+        if not len(at):
+            return 0
+        right, left = after[at], ids[at]
+        beyond = after[right]
+        ids[at], ids[right], opens[at], opens[right] = rank, -1, -1, -1
+        after[at] = beyond
+        on = beyond >= 0
+        before[beyond[on]] = at[on]
+        # Where neighbours merge at once, the right one was still as it was when the left one had merged.
+        spot = np.minimum(np.searchsorted(at, beyond), len(at) - 1)
+        for i, old in zip(at[at[spot] == beyond].tolist(), left[spot[at[spot] == beyond]].tolist(), strict=True):
+            if 0 <= self.learn(rank << 32 | old) <= rank:
+                self.astray.add(i)
+        touched = _distinct(np.concatenate([at[on], before[at]]))
+        self._enter(touched[touched >= 0], rank)
+        return len(at)
+
+    def _run_lists(self) -> None:
+        """The same, place by place."""
+        ids, after, before, opens = (x.tolist() for x in (self.ids, self.after, self.before, self.opens))
+        places = {rank: np.concatenate(groups).tolist() for rank, groups in self.places.items()}
+        known, learn, queue = self.pairs.get, self.learn, self.queue
         while queue:
             rank = heapq.heappop(queue)
             for i in sorted(places.pop(rank)):
@@ -136,10 +216,9 @@ class Codec:
                 j = after[i]
                 k = after[i] = after[j]
                 ids[i], ids[j], opens[i], opens[j] = rank, -1, -1, -1
-                touched = (i, before[i])
                 if k >= 0:
                     before[k] = i
-                for place in touched:
+                for place in (i, before[i]):
                     if place < 0 or after[place] < 0:
                         continue
                     pair = ids[place] << 32 | ids[after[place]]
@@ -148,29 +227,14 @@ class Codec:
                         opened = learn(pair)
                     opens[place] = opened
                     if opened > rank:
-                        if opened not in places:
+                        if opened in places:
+                            places[opened].append(place)
+                        else:
+                            places[opened] = [place]
                             heapq.heappush(queue, opened)
-                        places[opened].append(place)
                     elif opened >= 0:
-                        astray.add(bisect_right(starts, place) - 1)
-        made = np.array(ids, np.int64)
-        kept = made >= 0
-        ends = np.concatenate([[0], kept.cumsum()])[starts].tolist()
-        raw = made[kept].astype("<u4").tobytes()
-        out = [raw[4 * a : 4 * z] for a, z in zip(ends, ends[1:], strict=False)]
-        for i in astray:
-            out[i] = self._alone(words[i])
-        return out
-
-    def _alone(self, word: bytes) -> bytes:
-        """The ids of one word: always the leftmost pair of the lowest rank."""
-        ids = [self._bytes[b] for b in word]
-        while True:
-            ranks = (self._rank(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False))
-            best = min(((r, i) for i, r in enumerate(ranks) if r >= 0), default=None)
-            if best is None:
-                return np.array(ids, "<u4").tobytes()
-            ids[best[1] : best[1] + 2] = [best[0]]
+                        self.astray.add(place)
+        self.ids = np.array(ids, np.int64)
 
 
 def _pieces(text: str) -> list[str]:
