@@ -3,19 +3,20 @@
 A document is its sequence of non-blank lines (exact text, cut at ``\\n``).  Every ``GRAM``
 consecutive lines have a hash, and of every ``WINDOW`` consecutive hashes the smallest (the
 rightmost of equals) is selected.  Selection looks at nothing outside the window, so any run of
-``GRAM + WINDOW - 1`` lines that stands in two places has a selected hash in both.
-
-Positions with a shared selected hash are extended both ways to all runs of that length around
-them.  A run whose equal stands earlier, in the order of document id, text hash and line, is
-removed; overlapping runs make up the full length of a match.  Nothing is compared pair by pair:
-a passage in a third of all documents costs one row for each of its places.
-
-``remove_repeated_lines`` is the same with one line as the shortest match; query and pipeline use it.
+``GRAM + WINDOW - 1`` lines that stands in two places has a selected hash in both.  A long line, of
+``LONG_WORDS`` words or ``LONG_CHARS`` characters or more, is a fingerprint of its own besides.
+
+Guaranteed matches are therefore every run of three lines, and every single long line.  Positions with a
+shared fingerprint are extended both ways: from a selected hash to all runs of three lines around it,
+from a long line to its neighbours, and overlapping runs make up the full length of a match.  A run
+whose equal stands earlier, in the order of document id, text hash and line, is removed.  Short lines
+that are repeated alone, or in twos, stay.  Nothing is compared pair by pair: a passage in a third of
+all documents costs one row for each of its places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import stored
 
-#: Lines hashed together, and hashes in a window, where runs are asked for: those of 3 lines or more are found for certain.
+#: Lines hashed together, and hashes in a window: runs of 3 lines are found for certain.
 GRAM = 2
 WINDOW = 2
+#: Words, or characters, from which a line is long.
+LONG_WORDS = 5
+LONG_CHARS = 40
 _BLANK = " \t\n\x0b\f\r"
 
 _MARKS = "id long, h long, mark long, around array<struct<start: int, hash: long, first: int, last: int>>"
@@ -35,27 +39,36 @@ _RUN = pa.struct([("start", pa.int32()), ("hash", pa.int64()), ("first", pa.int3
 _ARROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("mark", pa.int64()), ("around", pa.list_(_RUN))])
 
 
+def is_long(line: bytes) -> bool:
+    """Whether a line is a fingerprint of its own."""
+    return len(line) >= LONG_CHARS and len(line.decode("utf-8", "surrogatepass")) >= LONG_CHARS or len(line.split()) >= LONG_WORDS
+
+
 def _marks_of(text: str, gram: int, window: int) -> Iterator[tuple[int, list[dict[str, int]]]]:
-    """Selected hashes of one text, each with the runs around it around it."""
-    length = gram + window - 1
+    """Fingerprints of one text, each with the runs around it."""
     digest = xxhash.xxh64_intdigest
     found = [(i, line.encode("utf-8", "surrogatepass")) for i, line in enumerate(text.split("\n")) if line.strip(_BLANK)]
-    runs = len(found) - length + 1
-    if runs < 1:
+    n = len(found)
+    if not n:
         return
     at = [i for i, _ in found]
     hashes = np.array([digest(line) for _, line in found], np.uint64)
-    grams = _rolled(hashes, gram)
-    whole = _rolled(hashes, length).view(np.int64)
-    # Window i holds the hashes i to i + window - 1; the reversed search gives the rightmost minimum.
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    best = np.unique(np.arange(runs) + window - 1 - views[:, ::-1].argmin(1))
-    for p in best.tolist():
-        around = [
-            {"start": s, "hash": int(whole[s]), "first": at[s], "last": at[s + length - 1]}
-            for s in range(max(0, p - window + 1), min(p, runs - 1) + 1)
-        ]
-        yield int(grams[p].view(np.int64)), around
+    runs = {m: _rolled(hashes, m).view(np.int64).tolist() for m in {1, 2, gram, gram + window - 1}}
+
+    def around(m: int, starts: Iterable[int]) -> list[dict[str, int]]:
+        return [{"start": s, "hash": runs[m][s], "first": at[s], "last": at[s + m - 1]} for s in starts if 0 <= s <= n - m]
+
+    for p, (_, line) in enumerate(found):
+        if is_long(line):
+            yield runs[1][p], around(1, [p]) + around(2, [p - 1, p])
+    length = gram + window - 1
+    if n >= length:
+        # Window i holds the hashes i to i + window - 1; the reversed search gives the rightmost minimum.
+        grams = np.array(runs[gram], np.int64).view(np.uint64)
+        views = np.lib.stride_tricks.sliding_window_view(grams, window)
+        best = np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(1))
+        for p in best.tolist():
+            yield runs[gram][p], around(length, range(p - window + 1, p + 1))
 
 
 def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -65,7 +78,7 @@ def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def selected(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Selected hashes: ``key``, ``mark`` and the runs ``around`` each, ``(start, hash, first, last)``.
+    """Fingerprints: ``key``, ``mark`` and the runs ``around`` each, ``(start, hash, first, last)``.
 
     ``start`` counts non-blank lines; ``first`` and ``last`` are places among all lines.
     """
@@ -124,11 +137,3 @@ def remove_repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW
         F.greatest(counts[0], F.lit(0)).cast("long").alias("n_lines"),
         F.greatest(counts[1], F.lit(0)).cast("long").alias("n_removed"),
     )
-
-
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """As ``remove_repeated_runs``, for every non-blank line that stands earlier, whatever is around it.
-
-    Blank lines stay; a document of which every line stands earlier becomes empty or blank.
-    """
-    return remove_repeated_runs(docs, 1, 1)

@@ -63,9 +63,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts without the lines that stand earlier."""
+    """Whole texts without the line runs that stand earlier."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.remove_repeated_lines(docs)
+    return line_dedup.remove_repeated_runs(docs)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
