@@ -55,3 +55,21 @@ def test_large_components_stay_exact(spark, size):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     small = [(i, [min(v, 1e7) for v in vec]) for i, vec in rows]
     assert got(spark.createDataFrame(small, df.schema)) == plain(small, T.K)
+
+
+def test_most_annuli_are_ruled_out(spark):
+    """On clustered vectors fewer than half of all pairs of query and annulus are met."""
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.05 * draw.normal(size=16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    vectors = T.whole_vectors(df).cache()
+    _, annuli = T.indexed(vectors)
+    queries = T.chunked(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    best = {q: s for q, r, _, s in plain(rows, 20) if r == 20}
+    least = spark.createDataFrame(list(best.items()), "query_id long, least long")
+    early = T.asks(annuli, queries, 20, True)
+    late = T.asks(annuli, queries.join(least, "query_id"), 20, False)
+    met = sum(d.select(F.sum(F.size("annuli"))).first()[0] or 0 for d in (early, late))
+    assert len(annuli.owner) >= 60 and met < 0.5 * 200 * (annuli.sizes > 0).sum()
+    assert got(df) == plain(rows, 20)
