@@ -38,7 +38,9 @@ REFERENCES = 64
 #: Rows that a ring shall have at least, rows of a block and queries of a chunk, at most on average.
 RING_ROWS = 32
 BLOCK = 16384
-CHUNK = 8192
+CHUNK = 2048
+#: Scores that a task holds at a time, about.
+HELD = 1 << 20
 
 
 def whole_vectors(table: DataFrame, ident: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -124,28 +126,33 @@ def _best(queries: pa.Table, block: pa.Table, k: int, width: int) -> pa.Table:
     if len(rows) and len(asks) and np.abs(rows).max() * np.abs(asks).max() * max(1, width) >= 2.0**53:
         rows, asks = rows.astype(np.int64), asks.astype(np.int64)
     lowest = np.iinfo(np.int64).min
-    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # The k-th best score so far of each query; whatever is below it can no longer be among the k best.
+    floor = np.full(len(asked), lowest + 1)
+    empty = np.zeros(0, np.int64)
+    kept, hits, held = (empty, empty, empty), [], 0
+
+    def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, found, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        floor[query[place == k - 1]] = score[place == k - 1]
+        return query[place < k], found[place < k], score[place < k]
+
     for annulus, start, end in zip(annuli.tolist(), starts.tolist(), ends.tolist(), strict=True):
         who = of_query[wanted == annulus]
-        step = max(1, (1 << 22) // (end - start))
+        step = max(1, HELD // (end - start))
         for at in range(0, len(who), step):
             some = who[at : at + step]
             scores = (asks[some] @ rows[start:end].T).astype(np.int64)
             scores[asked[some, None] == ids[None, start:end]] = lowest
-            if k < end - start:
-                least = np.partition(scores, end - start - k, axis=1)[:, end - start - k]
-                query, row = np.nonzero((scores >= least[:, None]) & (scores > lowest))
-            else:
-                query, row = np.nonzero(scores > lowest)
+            query, row = np.nonzero(scores >= floor[some, None])
             hits.append((some[query], ids[start + row], scores[query, row]))
-    query, found, score = (np.concatenate(c) if hits else np.zeros(0, np.int64) for c in (zip(*hits, strict=True) if hits else [[]] * 3))
-    # The k best of all annuli of the block, ties to the smaller id.
-    order = np.lexsort((found, -score, query))
-    query, found, score = query[order], found[order], score[order]
-    first = np.searchsorted(query, query)
-    top = np.arange(len(query)) - first < k
-    columns = [asked[query[top]], found[top], score[top]]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            held += len(row)
+            if held > HELD:
+                kept, hits, held = best_of([kept, *hits]), [], 0
+    query, found, score = best_of([kept, *hits])
+    return pa.table([pa.array(c, pa.int64()) for c in (asked[query], found, score)], names=["query_id", "vec_id", "score"])
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -255,7 +262,8 @@ def asks(annuli: Annuli, queries: DataFrame, k: int, first: bool) -> DataFrame:
     sizes, block, blocks = annuli.sizes, annuli.block, annuli.blocks
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        step = max(1, HELD // len(sizes))
+        for b in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
             bound = annuli.bounds(_matrix(b.column("q"), annuli.width))
             order = np.argsort(-bound, axis=1, kind="stable")
             # First come the best annuli until they hold eight times k rows.
