@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import patterns as P
 from palimpsest.functions import text as X
+from palimpsest.functions.arrays import let
 
 # ---------------------------------------------------------------------------------------
 # Common English words and the default limits.
@@ -35,31 +36,27 @@ class Limits:
 
 # ---------------------------------------------------------------------------------------
 
-ONE_CHAR_TOKEN = f"(?<!{P.NON_WS}){P.NON_WS}(?!{P.NON_WS})"
-LETTER_TOKEN = rf"(?<!{P.NON_WS})\p{{L}}+(?!{P.NON_WS})"
-# Longer words are ruled out before the alternatives are tried.
-COMMON_WORD = (
-    f"(?<!{P.W})(?=[a-z]{{1,{max(map(len, COMMON_WORDS))}}}+(?!{P.W}))(?:{'|'.join(COMMON_WORDS)})(?!{P.W})"
-)
-
-
 def _checked_word(limits: Limits) -> str:
     return f"(?<!{P.W})[a-z]{{{limits.min_checked_length},}}(?!{P.W})"
 
 
-def text_stats(c: Column, limits: Limits = Limits()) -> dict[str, Column]:
-    """Counts the gate needs; counting patterns avoids building arrays where possible."""
-    lower = F.lower(c)
-    alpha = F.regexp_extract_all(lower, F.lit(P.ALPHA_WORD), F.lit(0))
-    return {
-        "n_words": F.regexp_count(c, F.lit(P.TOKEN)),
-        "n_single": F.regexp_count(c, F.lit(ONE_CHAR_TOKEN)),
-        "n_letters_only": F.regexp_count(c, F.lit(LETTER_TOKEN)),
-        "n_alpha": F.size(alpha),
-        "n_alpha_chars": F.length(F.array_join(alpha, "")),
-        "n_alpha_distinct": F.size(F.array_distinct(alpha)),
-        "n_common": F.regexp_count(lower, F.lit(COMMON_WORD)),
-    }
+def text_stats(c: Column) -> Column:
+    """Struct of the counts the gate needs, from one list of tokens and one of plain words."""
+
+    def counts(tokens: Column, alpha: Column) -> Column:
+        return F.struct(
+            F.size(tokens).alias("n_words"),
+            F.size(F.filter(tokens, lambda w: F.length(w) == 1)).alias("n_single"),
+            F.size(F.filter(tokens, lambda w: w.rlike(r"^\p{L}+$"))).alias("n_letters_only"),
+            F.size(alpha).alias("n_alpha"),
+            F.length(F.array_join(alpha, "")).alias("n_alpha_chars"),
+            F.size(F.array_distinct(alpha)).alias("n_alpha_distinct"),
+            # Common words are plain words, so they are among those found already.
+            F.size(F.filter(alpha, lambda w: w.isin(*COMMON_WORDS))).alias("n_common"),
+        )
+
+    alpha = F.regexp_extract_all(F.lower(c), F.lit(P.ALPHA_WORD), F.lit(0))
+    return let(X.tokens(c), lambda t: let(alpha, lambda a: counts(t, a)))
 
 
 def fail_reason(s: Column, blank: Column, limits: Limits = Limits()) -> Column:
@@ -92,9 +89,8 @@ def high_quality(
     ``key`` identifying rows), texts that pass are also checked for unknown words.
     """
     text = F.coalesce(F.col(col), F.lit(""))
-    stats = F.struct(*[v.alias(k) for k, v in text_stats(text, limits).items()])
     gated = (
-        df.withColumn("_stats", stats)
+        df.withColumn("_stats", text_stats(text))
         .withColumn("fail_reason", fail_reason(F.col("_stats"), X.is_blank(F.col(col)), limits))
         .drop("_stats")
     )
