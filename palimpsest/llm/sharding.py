@@ -4,7 +4,9 @@ Every record is hashed into one of ``SLOTS`` slots for good.  Bytes and rows are
 slot, and a small versioned table maps slots to shards.  Rebalancing edits the newest version: the
 slots of shards above the mean move to shards below it, the largest first, then single slots are
 exchanged while that brings two shards nearer.  Records never move but with their slot, and a
-record is found by one hash and one look-up.  The map has ``SLOTS`` rows at any size of the data.
+record is found by one hash and one look-up.  Records without id are never looked up; their place decides,
+so that a table a third of which is null rows still has near equal shards.  Records equal in id
+and text share a slot.  The map has ``SLOTS`` rows at any size of the data.
 """
 
 from __future__ import annotations
@@ -25,8 +27,15 @@ OVERHEAD = 8
 
 
 def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record; id and text decide, so that records without id spread too."""
-    return F.pmod(F.xxhash64(doc_id, text), F.lit(slots)).cast("int")
+    """The virtual slot of a record, by id and text; null for a null id, by which no record is looked up."""
+    return F.when(doc_id.isNotNull(), F.pmod(F.xxhash64(doc_id, text), F.lit(slots))).cast("int")
+
+
+def spread_nameless(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Gives records without id the slot of their place in the stored table, so that any number of equal ones spread."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    place = F.pmod(F.xxhash64(part, "_metadata.row_index"), F.lit(slots)).cast("int")
+    return rows.withColumn("vslot", F.coalesce("vslot", place))
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -135,7 +144,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str
     folder, whose version 0 deals the slots in turn.
     """
     spark = docs.sparkSession
-    rows = stored(records(docs, slots), "shard-records")
+    rows = spread_nameless(stored(records(docs, slots), "shard-records"), slots)
     loads = stored(slot_loads(rows), "slot-loads")
     if path is None:
         path = work_path(spark, "slot-map")

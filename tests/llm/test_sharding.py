@@ -53,3 +53,12 @@ def test_rebalanced_maps_are_near_equal():
     assert max(sums) - min(sums) <= 2
     assert S.rebalanced(owner, loads, 24) is not None
     assert S.rebalanced([0] * 8, [0] * 8, 3) is not None
+
+
+def test_a_third_of_all_rows_without_id_and_text(frame, docs):
+    rows = [(i, f"text {i} " * (1 + i % 9)) for i in range(20_000)] + [(None, None)] * 10_000
+    df = frame(rows)
+    high, low, mean = check(S.sharded(df), df)
+    assert high < 1.01 * mean and low > 0.99 * mean
+    used = S.sharded(df).where("doc_id IS NULL").groupBy("vslot").count().agg({"count": "max"}).first()[0]
+    assert used < 20
