@@ -180,5 +180,7 @@ def correct_spelling(
         .groupBy(key)
         .agg(F.collect_list(F.struct("token", "correction")).alias("_fixes"))
     )
-    fixed = _apply_fixes(F.col(col), F.col("_fixes.token"), F.col("_fixes.correction"))
-    return df.join(per_row, key, "left").withColumn(out, fixed).drop("_fixes")
+    # Only texts with fixes travel to Python and back.
+    touched = F.when(F.col("_fixes").isNotNull(), F.col(col))
+    fixed = _apply_fixes(touched, F.col("_fixes.token"), F.col("_fixes.correction"))
+    return df.join(per_row, key, "left").withColumn(out, F.coalesce(fixed, F.col(col))).drop("_fixes")
