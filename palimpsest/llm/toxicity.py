@@ -53,6 +53,11 @@ _OTHER, _SIZE = 27, 28
 _SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\w)")
 #: Longer words are scored in overlapping parts of this length, whole.
 _PART = 24
+#: Bounds on the fit, which has a bounded sample anyway: words of each side that landmarks are chosen from, and
+#: negative words of clean texts, the commonest and the highest scored at first and those added in each round.
+LANDMARK_WORDS = 4000
+FIRST_NEGATIVES = 3000
+MORE_NEGATIVES = 1500
 #: Words whose features are worked out at once.
 _CHUNK = 4000
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
@@ -155,7 +160,7 @@ def _landmarks(toxic: list[str], clean: list[str], count: int) -> list[str]:
     """Half from each side, chosen one by one far from those before."""
     chosen: list[str] = []
     for words in (toxic, clean):
-        words = [p for w in words for p in _parts(w) if len(p) >= ORDER][:4000]
+        words = [p for w in words for p in _parts(w) if len(p) >= ORDER][:LANDMARK_WORDS]
         if not words:
             continue
         row, key, weight = features(words)
@@ -282,8 +287,8 @@ def fit(texts: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: i
     enough = np.log(CHANCE) / np.log(len(toxic) / (len(toxic) + len(clean)))
     sure = {w for w, n in in_toxic.items() if n >= enough and not in_clean[w]}
     positive |= sure
-    negative = {w for w, _ in in_clean.most_common(3000)}
-    negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:3000])
+    negative = {w for w, _ in in_clean.most_common(FIRST_NEGATIVES)}
+    negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:FIRST_NEGATIVES])
     model = Model(odds, 0.0)
     for _ in range(rounds):
         negative -= positive
@@ -295,7 +300,7 @@ def fit(texts: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: i
         positive = {max(ws, key=lambda w: (score[w] + lift[w], w)) for ws in toxic}
         positive |= sure | {w for w in in_toxic if score[w] > 0.5 and not in_clean[w]}
         positive = {w for w in positive if 20 * in_clean[w] * len(toxic) <= in_toxic[w] * len(clean)}
-        negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:1500])
+        negative |= set(sorted(in_clean, key=lambda w: (-score[w], w))[:MORE_NEGATIVES])
         if not positive:
             break
     best = np.array([max(score[w] for w in ws) for ws in toxic + clean])
