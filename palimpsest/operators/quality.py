@@ -97,10 +97,9 @@ def high_quality(
     if dictionary is not None:
         if key is None:
             raise ValueError("the dictionary test needs the row key")
-        # Texts that failed already are blanked, not filtered: a filter would be pushed
-        # under the statistics and count every pattern again.
-        open_text = gated.select(key, F.when(F.col("fail_reason").isNull(), F.col(col)).alias(col))
-        ratios = misspell_ratios(open_text, key, col, dictionary, limits)
+        # All texts are looked up, as an earlier reason wins anyway: to leave out those that failed
+        # would count every pattern of every text a second time.
+        ratios = misspell_ratios(df.select(key, col), key, col, dictionary, limits)
         bad = ratios.where(F.col("misspell_ratio") > F.lit(limits.max_misspell_ratio))
         gated = (
             gated.join(bad.select(key, F.lit("misspelled").alias("_bad")), key, "left")
