@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that is made of them is stored itself."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Words ``[^ \\t-\\r]+`` of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
