@@ -6,7 +6,7 @@ digit, a comma or the like) are joined to the next, so a paragraph is a line, or
 A multinomial logistic regression over sparse word n-grams (one to three words) is trained on the
 notices and names of ``license_texts``: whole, with words left out, and embedded among other words.  The
 class ``unknown`` learns from sentences about rights that name no licence, from shuffled notices and
-from the benchmark table's passages, ``BACKGROUND`` rows at most.  Its threshold is calibrated: a
+from all of the benchmark table's passages, half of whose distinct paragraphs are kept back.  Its threshold is calibrated: a
 family must be more probable than for nearly all held-out background paragraphs.  A paragraph that
 passes is then compared with the family's templates; enough of a template's word pairs, or of its own,
 must be shared for the prediction to be confirmed.
@@ -38,8 +38,6 @@ WORD_HASHES = 1 << 20
 #: Comment marks at either end of a line, and line ends within a sentence.
 _MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)(?=[ \t\r\n]|$)|[ \t]*(?:\*+/|-->)[ \t\r]*$"
 _GOES_ON = r"\n(?<=[\p{L}\p{N},;:()/-][ \t\r]{0,4}\n)[ \t]*(?=\S)"
-#: Background passages to learn and calibrate from, at most.
-BACKGROUND = 400
 #: Share of held-out background paragraphs that may reach the threshold, and its least value.
 FALSE_SHARE = 0.001
 LEAST = 0.8
@@ -104,11 +102,8 @@ def _examples(spark: SparkSession, background: DataFrame) -> DataFrame:
     base = _rows(spark, rows, ("label", "text")).select("label", _tokens(F.col("text")).alias("tokens"))
     named = [(float(FAMILIES.index(f)), a.format(n)) for f, ns in NAMES.items() for n in ns for a in AROUND]
     named = _rows(spark, named, ("label", "text")).select("label", _tokens(F.col("text")).alias("tokens"))
-    parts = (
-        background.orderBy(F.xxhash64("text"), "text").limit(BACKGROUND)
-        .select(F.explode(_paragraphs(F.col("text"))).alias("text")).select(_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    )
-    parts = stored(parts.distinct(), "license-background")
+    parts = background.select(F.explode(_paragraphs(F.col("text"))).alias("text")).select(_tokens(F.col("text")).alias("tokens"))
+    parts = stored(parts.where(F.size("tokens") > 0).distinct(), "license-background")
     other = parts.select(
         F.lit(0.0).alias("label"), "tokens", F.pmod(F.xxhash64("tokens"), F.lit(2)).cast("int").alias("fold")
     )
@@ -131,7 +126,7 @@ def _examples(spark: SparkSession, background: DataFrame) -> DataFrame:
 def trained(spark: SparkSession, background: DataFrame) -> Scanner:
     """A scanner; ``background`` has a ``text`` without licences (null and empty ones are left out)."""
     rows = stored(_slots(_examples(spark, background), "label", "fold").withColumn("grams", F.col("slots").cast("array<string>")), "license-examples")
-    known = rows.where("fold = 1").coalesce(1)
+    known = rows.where("fold = 1")
     counter = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=SLOTS, minDF=MIN_ROWS, binary=True).fit(known)
     learner = LogisticRegression(
         featuresCol="x", labelCol="label", family="multinomial", regParam=3e-4, maxIter=100, standardization=False,

@@ -116,6 +116,14 @@ def test_every_paragraph_is_scored(scanner, frame):
     assert not [r for r in got if r.doc_id == 2 and r.confirmed]
 
 
+def test_every_background_passage_is_learned_from(spark, frame):
+    rows = [(i, f"passage number n{i} of many\n\nits second line l{i}") for i in range(900)]
+    made = L._examples(spark, frame(rows)).select("tokens", "fold").collect()
+    folds = {w: r.fold for r in made for w in r.tokens}
+    assert all(f"n{i}" in folds and f"l{i}" in folds for i in range(900))
+    assert 700 < sum(folds[f"{c}{i}"] for i in range(900) for c in "nl") < 1100
+
+
 def test_odd_rows(scanner, odd, none):
     assert L.scan(odd, scanner).count() == 0 and L.scan(none, scanner).count() == 0
     assert L.trained(odd.sparkSession, none.select("text")).threshold == L.LEAST
