@@ -9,22 +9,20 @@ share one nearly always, and equal passages always.
 
 Signatures of one document alone are dropped.  The windows left carry one byte for each shingle around c; those
 equal in signature, ends and bytes are one form, and all places of a form in two documents are linked to its first.
-Other equal passages are found exactly: every ``LENGTH`` shingles in a row inside a form of the first function are
-hashed, unless the form lies wholly in another document's first window, and each place of a hash that two
-documents hold is linked to its first.
 
-Every form is joined with the first window of its signature (forms of that one's own document with the
-last), and the pair is verified: of some
+All pairs of forms of a signature that stand in different documents are verified: of some
 ``LENGTH`` shingles in a row, inside both windows, enough must stand in the other too for the Jaccard
-similarity, in place or moved by up to ``SHIFT`` on either side of c.  Forms that fail meet one with the same shingles next to c on the left,
-and on the right, over ever longer contexts (``CONTEXTS``).  So a passage in a third of all documents costs one row for each of its places, and
-nothing is compared pair by pair.  Verified stretches of a document are merged, and those that are
+similarity, in place or moved by up to ``SHIFT`` on either side of c.  Equal passages are such pairs as well.
+The forms of a signature are cut into blocks of about ``BLOCK``, and each pair of blocks is
+worked on by itself, so a signature of many forms is spread over many tasks and none holds more than two blocks.  The
+pairs are not written: as all similar stretches hold c, a form needs its farthest reach on either side
+and one link to the first form that similar pairs lead to.  Verified stretches of a document are merged, and those that are
 linked form a class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +42,9 @@ HASHES = 3
 SHIFT = 2
 #: Bits of the filter of shared signatures (32 MB at any size of the data), in parts of 64 KB.
 FILTER_BITS, PART_BITS = 28, 19
-#: Shingles beside c that windows without a link must share, in turn, with those they meet.
-CONTEXTS = (8, 24)
+#: Forms of a signature in one block, about; pairs that are compared at once.
+BLOCK = 2048
+_ROWS, _COLUMNS = 64, 256
 _SIDE = LENGTH - 1 + SHIFT
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +181,7 @@ def _filter(shared: DataFrame) -> np.ndarray:
 
 
 def _around(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``sig, key, c, exact, ctx`` of windows that pass the filter; ``exact`` for those of the first function.
+    """``sig, key, c, ctx`` of windows that pass the filter.
 
     ``ctx`` holds c - l and r - c, at most ``_SIDE``, then one byte for each shingle from
     ``c - _SIDE`` to ``c + _SIDE``: 1 to 255, 0 outside of the window.
@@ -198,13 +197,11 @@ def _around(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
         for keys, texts in _gathered(batches):
             sh, starts, gaps = joined(texts)
-            made = list(windows(sh, gaps))
-            sig, c, left, right = (np.concatenate(x) for x in zip(*made, strict=True))
-            exact = np.arange(len(c)) < len(made[0][1])
+            sig, c, left, right = (np.concatenate(x) for x in zip(*windows(sh, gaps), strict=True))
             keep = test(sig >> np.uint64(64 - FILTER_BITS)) & test(sig & low)
             if not keep.any():
                 continue
-            sig, c, exact = sig[keep], c[keep], exact[keep]
+            sig, c = sig[keep], c[keep]
             codes = np.pad((sh % np.uint64(255) + np.uint64(1)).astype(np.uint8), _SIDE)
             ctx = np.empty((len(c), 2 * _SIDE + 3), np.uint8)
             ctx[:, 0] = np.minimum(c - left[keep], _SIDE)
@@ -217,18 +214,15 @@ def _around(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             raw = pa.Array.from_buffers(pa.binary(), len(ctx), [None, pa.py_buffer(ends), pa.py_buffer(ctx.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig.view(np.int64)), pa.array(np.array(keys, np.int64)[of]), pa.array((c - starts[of]).astype(np.int32))]
-                + [pa.array(exact), raw],
-                names=["sig", "key", "c", "exact", "ctx"],
+                + [raw],
+                names=["sig", "key", "c", "ctx"],
             )
 
     return docs.where("text is not null").select(_key(), "text").mapInArrow(
-        made, "sig long, key long, c int, exact boolean, ctx binary"
+        made, "sig long, key long, c int, ctx binary"
     )
 
 
-_NONE = -1000
-
-
 def _forms(rows: DataFrame) -> DataFrame:
     """Windows equal in signature, ends and codes as one row, with their first and last place.
 
@@ -236,11 +230,10 @@ def _forms(rows: DataFrame) -> DataFrame:
     """
     place = F.struct("key", "c")
     forms = rows.groupBy("form").agg(
-        F.first("sig").alias("sig"), F.first("ctx").alias("ctx"), F.max("exact").alias("exact"),
-        F.min(place).alias("f"), F.max(place).alias("m"),
-    )
+        F.first("sig").alias("sig"), F.first("ctx").alias("ctx"), F.min(place).alias("f"), F.max(place).alias("m")
+    )
     return forms.select(
-        "form", "sig", "exact", "ctx", F.expr("f.key fk"), F.expr("f.c fc"), F.expr("m.key mk"), F.expr("m.c mc"),
+        "form", "sig", "ctx", F.expr("f.key fk"), F.expr("f.c fc"), F.expr("m.key mk"), F.expr("m.c mc"),
         F.expr("f.key = m.key single"), F.expr("f.key = m.key and f.c <> m.c twice"),
     )
 
@@ -263,158 +256,149 @@ def _copies(forms: DataFrame, places: DataFrame) -> DataFrame:
     return met.selectExpr("key", "c - xl first", "c + xr last", "key2", "p - xl first2", "p + xr last2")
 
 
-def _counts(x: np.ndarray, y: np.ndarray, shift: int) -> np.ndarray:
-    """How many of the first codes of x stand in y too, in place or moved by up to ``shift``; x and y lead away from c."""
-    hit = np.zeros(x.shape, bool)
-    for e in range(min(0, shift), max(0, shift) + 1):
-        lo, hi = max(0, -e), x.shape[1] - max(0, e)
-        hit[:, lo:hi] |= x[:, lo:hi] == y[:, lo + e : hi + e]
-    return np.pad(np.cumsum(hit & (x > 0), 1, dtype=np.int16), ((0, 0), (1, 0)))
-
-
-def _matched(x: np.ndarray, y: np.ndarray, moves: Iterable[tuple[int, int]]) -> np.ndarray:
-    """Places before and after c, in x and in y, to which similar stretches reach; ``_NONE`` where there are none.
-
-    ``moves`` are pairs of shifts before and after c.
+_SPANS = ["key", "first", "last", "key2", "first2", "last2"]
+#: Moves before and after c; words put in or left out on both sides break too many shingles for the similarity.
+_MOVES = [(0, 0)] + [(d, 0) for d in range(-SHIFT, SHIFT + 1) if d] + [(0, d) for d in range(-SHIFT, SHIFT + 1) if d]
+
+
+def _hits(u: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shift d, for all lines of u against all of v, which lead away from c: how many of the first codes of
+    u stand in v too, in place or moved by up to d, and how many of v's stand in u."""
+    size, u, v = u.shape[1], np.ascontiguousarray(u.T)[:, :, None], np.ascontiguousarray(v.T)[:, None, :]
+    inside, same = u > 0, {}
+    for e in range(-SHIFT, SHIFT + 1):
+        lo, hi = max(0, -e), size - max(0, e)
+        same[e] = np.zeros((size, u.shape[1], v.shape[2]), bool)
+        np.equal(u[lo:hi], v[lo + e : hi + e], out=same[e][lo:hi])
+        same[e] &= inside
+
+    def counted(hit: np.ndarray) -> np.ndarray:
+        out = np.zeros((size + 1, *hit.shape[1:]), np.uint8)
+        for i in range(size):
+            np.add(out[i], hit[i].view(np.uint8), out=out[i + 1])
+        return out
+
+    found = {0: (counted(same[0]),) * 2}
+    for way in (-1, 1):
+        ours, theirs = same[0].copy(), same[0].copy()
+        for d in range(way, way * (SHIFT + 1), way):
+            ours |= same[d]
+            # Code j of v stands at j - d in u.
+            lo, hi = max(0, d), size + min(0, d)
+            theirs[lo:hi] |= same[d][lo - d : hi - d]
+            found[d] = counted(ours), counted(theirs)
+    return found
+
+
+def _similar(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs ``apart`` of windows x and y are similar, and how far stretches of x, and of y, reach.
+
+    A reach is one more than the shingles before c, and after it; 0 where there is none.
     """
-    ends = np.full((len(x), 4), _NONE)
-    sides = []
-    for i, at, part in ((0, 0, slice(_SIDE + 1, 1, -1)), (1, 1, slice(_SIDE + 3, None))):
-        u, v = x[:, part], y[:, part]
-        counts = {d: (_counts(u, v, d), _counts(v, u, -d)) for d in {m[i] for m in moves}}
-        sides.append((x[:, at : at + 1].astype(int), y[:, at : at + 1].astype(int), counts))
-    (xl, yl, left), (xr, yr, right) = sides
-    a = np.arange(LENGTH)  # shingles before c in x, and b after it
-    b = LENGTH - 1 - a
-    for dl, dr in moves:
+    good = np.zeros(apart.shape, bool)
+    reach = np.zeros((2, len(x)), np.int32), np.zeros((2, len(y)), np.int32)
+    left, right = (_hits(x[:, part], y[:, part]) for part in (slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)))
+    (xl, xr), (yl, yr) = x[:, :2].T.astype(int), y[:, :2].T.astype(int)
+    for dl, dr in _MOVES:
         # Common shingles of stretches of LENGTH and LENGTH + dl + dr that give the similarity.
         need = int(np.ceil((2 * LENGTH + dl + dr) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+        # Shingles before c in x, and b after it; those of y.
+        a = np.arange(max(0, -dl), LENGTH - max(0, -dr))
+        b = LENGTH - 1 - a
         a2, b2 = a + dl, b + dr
-        good = (a <= xl) & (b <= xr) & (a2 >= 0) & (b2 >= 0) & (a2 <= yl) & (b2 <= yr)
-        good &= left[dl][0][:, a] + right[dr][0][:, b] + 1 >= need
-        good &= left[dl][1][:, np.clip(a2, 0, _SIDE)] + right[dr][1][:, np.clip(b2, 0, _SIDE)] + 1 >= need
-        some = good.any(1)
-        most, least = LENGTH - 1 - good[:, ::-1].argmax(1), good.argmax(1)
-        reach = np.stack([most, LENGTH - 1 - least, most + dl, LENGTH - 1 - least + dr], 1)
-        ends = np.where(some[:, None], np.maximum(ends, reach), ends)
-    return ends
-
-
-_LINK = "form long, sig long, exact boolean, single boolean, own boolean, lead boolean, whole boolean, key long, first int, last int, key2 long, first2 int, last2 int"
-_SPANS = ["key", "first", "last", "key2", "first2", "last2"]
-#: Words put in or left out before and after c break at least eight shingles, too many for the similarity.
-_MOVES = [(d, 0) for d in range(-SHIFT, SHIFT + 1) if d] + [(0, d) for d in range(-SHIFT, SHIFT + 1) if d]
-
-
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Stretches of both sides, in shingle places; null ends where the pair fails.
-
-    ``whole``: all stretches inside the window stand in the other window too.
-    """
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(b.num_rows, -1) for n in ("ctx", "ctx2")
-            )
-            ends = _matched(x, y, [(0, 0)])
-            whole = (x[:, :2] <= y[:, :2]).all(1) & ((x[:, 2:] == y[:, 2:]) | (x[:, 2:] == 0)).all(1)
-            # Where the stretches in place fill the window, moved ones reach no further.
-            other = (ends[:, :2] < np.minimum(x[:, :2], LENGTH - 1)).any(1)
-            if other.any():
-                ends[other] = np.maximum(ends[other], _matched(x[other], y[other], _MOVES))
-            found = ends[:, 0] > _NONE
-            lo, hi, lo2, hi2 = -ends[:, 0], ends[:, 1], -ends[:, 2], ends[:, 3]
-            c, c2 = b.column("c").to_numpy(), b.column("c2").to_numpy()
-            ends = [pa.array(v.astype(np.int32), mask=~found) for v in (c + lo, c + hi, c2 + lo2, c2 + hi2)]
+        lead, back = (slice(int(v[0]), int(v[-1]) + 1) for v in (a, b[::-1]))
+        now = left[dl][0][lead] + right[dr][0][back][::-1] >= need - 1
+        if dl or dr:
+            lead, back = (slice(int(v[0]), int(v[-1]) + 1) for v in (a2, b2[::-1]))
+            now &= left[dl][1][lead] + right[dr][1][back][::-1] >= need - 1
+        now &= apart
+        now &= ((a[:, None] <= xl) & (b[:, None] <= xr))[:, :, None]
+        now &= ((a2[:, None] <= yl) & (b2[:, None] <= yr))[:, None, :]
+        for side, ends, axis in ((reach[0], (a, b), 2), (reach[1], (a2, b2), 1)):
+            some = now.any(axis)
+            for k in (0, 1):
+                np.maximum(side[k], (some * (ends[k] + 1)[:, None]).max(0), out=side[k])
+        good |= now.any(0)
+    return good, reach[0].T, reach[1].T
+
+
+def _labels(good: np.ndarray) -> np.ndarray:
+    """The first line that each line of a symmetric table is connected with."""
+    label = np.arange(len(good))
+    while True:
+        near = np.fromiter((label[g].min(initial=own) for g, own in zip(good, label, strict=True)), np.int64, len(good))
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
+def _blocks(forms: DataFrame) -> DataFrame:
+    """Every form once for each pair of blocks that it takes part in; signatures of one document are left out."""
+    groups = forms.groupBy("sig").agg(F.count("*").alias("n"), F.min("fk").alias("lo"), F.max("mk").alias("hi"))
+    groups = groups.where("n > 1 and lo <> hi").selectExpr("sig", f"int(ceil(n / {BLOCK})) blocks")
+    dealt = forms.join(groups.hint("merge"), "sig").withColumn("own", F.expr("int(pmod(xxhash64(form), blocks))"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.struct("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return dealt.select(F.xxhash64(pair).alias("pair"), "sig", "own", F.expr("own = other").alias("within"), "form", "ctx", "fk", "fc", "mk")
+
+
+_FOUND = "form long, key long, first int, last int, key2 long, first2 int, last2 int"
+
+
+def _verified(blocks: DataFrame) -> DataFrame:
+    """Each form's farthest stretch, beside the stretch of the first form that similar pairs lead to."""
+    sorted_ = blocks.repartition("pair").sortWithinPartitions("pair", "own", "form")
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The rows of a pair of blocks, or of several small signatures."""
+        n = rows.num_rows
+        x = np.frombuffer(b"".join(rows.column("ctx").to_pylist()), np.uint8).reshape(n, -1)
+        sig, own, key, key2 = (rows.column(c).to_numpy() for c in ("sig", "own", "fk", "mk"))
+        within = np.array(rows.column("within"))
+        good, reach, line = np.zeros((n, n), bool), np.zeros((n, 2), np.int32), np.arange(n)
+        for i in range(0, n, _ROWS):
+            at = slice(i, i + _ROWS)
+            for j in range(i, n, _COLUMNS):
+                to = slice(j, j + _COLUMNS)
+                # Forms of one document only, the same one, are no pair; nor is a form with itself.
+                alone = (key[at] == key2[at])[:, None] & (key[to] == key2[to]) & (key[at][:, None] == key[to])
+                apart = ~alone & (line[at][:, None] < line[to]) & (sig[at][:, None] == sig[to])
+                apart &= within[at][:, None] | (own[at][:, None] != own[to])
+                if not apart.any():
+                    continue
+                found, mine, theirs = _similar(x[at], x[to], apart)
+                good[at, to] |= found
+                reach[at] = np.maximum(reach[at], mine)
+                reach[to] = np.maximum(reach[to], theirs)
+        lead = _labels(good | good.T)
+        some = np.flatnonzero(reach[:, 0])
+        if len(some):
+            lead, c = lead[some], rows.column("fc").to_numpy()
+            form = rows.column("form").combine_chunks().take(pa.array(some))
+            ends = [(c[k] - reach[k, 0] + 1, c[k] + reach[k, 1] - 1) for k in (some, lead)]
+            (a, b), (a2, b2) = [[pa.array(v.astype(np.int32)) for v in e] for e in ends]
             yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in ("form", "sig", "exact", "single", "own", "lead")]
-                + [pa.array(whole), b.column("key"), ends[0], ends[1], b.column("key2"), ends[2], ends[3]],
-                names=[f.split()[0] for f in _LINK.split(", ")],
+                [form, pa.array(key[some]), a, b, pa.array(key[lead]), a2, b2], names=[f.split()[0] for f in _FOUND.split(", ")]
             )
 
-    return pairs.mapInArrow(check, _LINK)
-
-
-def _met(forms: DataFrame, held: DataFrame, *by: str) -> DataFrame:
-    """Every form beside one of ``held`` of another document: the first of its group, or the last for forms of the first's document.
-
-    ``own`` forms stand in the first's document, ``lead`` is the first itself.
-    """
-    first, last = F.struct("fk", "fc", "ctx"), F.struct("mk", "mc", "ctx")
-    ends = held.groupBy(*by).agg(F.min(first).alias("f"), F.max(last).alias("m")).where("f.fk <> m.mk")
-    met = forms.join(ends.hint("merge"), list(by)).withColumn("own", F.expr("fk = f.fk"))
-    return met.select(
-        "form", "sig", "exact", "single", "own", F.expr("own and fc = f.fc lead"), F.expr("fk key"), F.expr("fc c"), "ctx",
-        F.expr("if(own, m.mk, f.fk) key2"), F.expr("if(own, m.mc, f.fc) c2"), F.expr("if(own, m.ctx, f.ctx) ctx2"),
-    )
-
-
-def _hashed(codes: np.ndarray) -> np.ndarray:
-    """A hash of every ``LENGTH`` codes in a row of each line, by doubling."""
-    n = codes.shape[1] - LENGTH + 1
-    x, out, at, width = _mixed(codes.astype(np.uint64)), np.zeros((len(codes), n), np.uint64), 0, 1
-    while width <= LENGTH:
-        if LENGTH & width:
-            out = _mixed(out * _M + x[:, at : at + n])
-            at += width
-        if 2 * width <= LENGTH:
-            x = _mixed(x[:, :-width] * _M + x[:, width:])
-        width *= 2
-    return out
-
-
-def _stretches(forms: DataFrame) -> DataFrame:
-    """``form, run, at, f, m``: the hash of every stretch inside the windows, ``at`` its start less c."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(b.column("ctx").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            start = np.arange(LENGTH) - (LENGTH - 1)
-            inside = (start >= -raw[:, :1].astype(int)) & (start + LENGTH - 1 <= raw[:, 1:2].astype(int))
-            skip = _SIDE - (LENGTH - 1)
-            run = _hashed(raw[:, 2 + skip : raw.shape[1] - skip])
-            run = _mixed(run ^ b.column("sig").to_numpy().view(np.uint64)[:, None])
-            row, k = np.nonzero(inside)
-            back = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("form").take(back), pa.array(run[row, k].view(np.int64)), pa.array(start[k].astype(np.int32))]
-                + [b.column(n).take(back) for n in ("fk", "fc", "mk", "mc")],
-                names=["form", "run", "at", "fk", "fc", "mk", "mc"],
-            )
+            group = b.column("pair").to_numpy()
+            starts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(starts, starts[1:]):
+                if size >= _ROWS and group[lo] != last:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held, size = [], 0
+                held.append(b.slice(lo, hi - lo))
+                size, last = size + hi - lo, group[lo]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
-    return forms.mapInArrow(made, "form long, run long, at int, fk long, fc int, mk long, mc int")
-
-
-def _equal(forms: DataFrame, first: DataFrame, places: DataFrame) -> DataFrame:
-    """Links of all places of stretches that two documents hold, exactly.
-
-    Stretches of forms in two documents are linked already, and so are those of a form that lies wholly in its
-    signature's first window in another document.  A stretch left equals one of another form left, or one of the first
-    window; only if it stands in the first window's own document, its equals may be any, and all forms of the signature take part.
-    """
-    marks = first.where("exact").select("form", "sig", "single", "own", "lead", F.expr("own or not whole open"))
-    sigs = marks.where("single and open").groupBy("sig").agg(F.max(F.expr("own and not lead")).alias("every"))
-    marks = marks.drop("single").join(sigs.hint("merge"), "sig").where("open or every").select("form")
-    runs = stored(_stretches(forms.join(marks.hint("merge"), "form")), "stretches")
-    lo, hi = F.struct(F.col("fk").alias("key"), F.expr("fc + at").alias("c")), F.struct(F.col("mk").alias("key"), F.expr("mc + at").alias("c"))
-    ends = runs.groupBy("run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).where("lo.key <> hi.key")
-    met = runs.where("fk = mk").select("form", "run", "at", "fk", "fc").join(ends.hint("merge"), "run")
-    own = F.expr("fk = lo.key")
-    met = met.select("form", "at", F.col("fk").alias("key"), "fc", F.when(own, F.col("hi.key")).otherwise(F.col("lo.key")).alias("key2"),
-                     (F.when(own, F.col("hi.c")).otherwise(F.col("lo.c")) - F.col("at")).alias("p"))
-    # Stretches of a window all hold c, so those beside the same partner on one diagonal are one span.
-    met = met.groupBy("form", "key", "fc", "key2", "p").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    met = met.selectExpr(
-        "form", "key", "fc + a first", f"fc + b + {LENGTH - 1} last", "key2", "p + a first2", f"p + b + {LENGTH - 1} last2"
-    )
-    met = stored(met, "equal-spans")
-    released(runs)
-    return _at_places(met, forms, places)
+    return sorted_.mapInArrow(check, _FOUND)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -424,25 +408,9 @@ def links(docs: DataFrame) -> DataFrame:
     forms = stored(_forms(rows), "forms")
     places = stored(rows.select("form", "key", "c"), "places")
     released(shared, rows)
-    first = stored(_verified(_met(forms, forms, "sig")), "links")
-    good = _at_places(first.where("first is not null"), forms, places).union(_copies(forms, places))
-    good = good.union(_equal(forms, first, places))
-    failed = first.where("first is null").select("form", "sig")
-    # Whom they may meet: all forms of their signatures, linked or not.
-    held = stored(forms.join(failed.select("sig").distinct().hint("merge"), "sig", "left_semi"), "held-forms")
-    left = stored(held.join(failed.select("form").hint("merge"), "form", "left_semi"), "left-forms")
-    for n in CONTEXTS:
-        # Codes of the shingles before c, and after it.
-        for near in (F.substring("ctx", _SIDE + 3 - n, n), F.substring("ctx", _SIDE + 4, n)):
-            if left.isEmpty():
-                break
-            met = stored(_verified(_met(left.withColumn("near", near), held.withColumn("near", near), "sig", "near")), "more-links")
-            found = met.where("first is not null")
-            good = good.union(_at_places(found, forms, places))
-            before, left = left, stored(left.join(found.select("form").hint("merge"), "form", "left_anti"), "left-forms")
-            released(before)
-    good = stored(good, "all-links")
-    released(held, left, forms, places, first)
+    found = stored(_verified(_blocks(forms)), "links")
+    good = stored(_at_places(found, forms, places).union(_copies(forms, places)), "all-links")
+    released(forms, places, found)
     return good
 
 

@@ -106,3 +106,71 @@ def test_word_put_in_or_left_out(frame):
         rows += [(k, " ".join([*made(draw, 60), *p, *made(draw, 60)])) for k, p in ((i, passage), (i + 1, other))]
     # A changed word in a passage may leave no common smallest hash; most have one.
     assert len(covered(frame(rows))) >= 72
+
+
+def test_no_near_pair_of_a_signature_is_left_out(frame):
+    draw = random.Random(8)
+    # All texts share 40 shingles, too few; every two of them share 41, which are enough.
+    phrase, rows = made(draw, 44), []
+    for i in range(0, 40, 2):
+        rows += [(k, " ".join([*made(draw, 40), f"own{i}", *phrase, *made(draw, 40)])) for k in (i, i + 1)]
+    names = {r.doc_id: r.class_id for r in S.repeated_passages(frame(rows)).collect()}
+    assert sum(i in names and names[i] == names.get(i + 1) for i in range(0, 40, 2)) >= 18
+
+
+def test_blocks_give_the_same(frame, monkeypatch):
+    draw = random.Random(9)
+    passage = made(draw, 56)
+    rows = []
+    for i in range(60):
+        mine = [*passage]
+        mine[i % 50] = f"y{i % 7}"
+        rows += [(i, " ".join([*made(draw, 50), *mine, *made(draw, 50)]))]
+    want = sorted(tuple(r) for r in S.repeated_passages(frame(rows)).collect())
+    monkeypatch.setattr(S, "BLOCK", 7)
+    assert want and sorted(tuple(r) for r in S.repeated_passages(frame(rows)).collect()) == want
+
+
+def similar_by_hand(x, y):
+    """Reach of stretches of x, by the definition, one pair at a time."""
+    side, best = S._SIDE, [0, 0]
+    cx, cy = ({k - side: int(v) for k, v in enumerate(w[2:]) if v} for w in (x, y))
+    for dl, dr in S._MOVES:
+        need = int(np.ceil((2 * S.LENGTH + dl + dr) * S.SIMILARITY / (1 + S.SIMILARITY) - 1e-9))
+        shift = {-1: range(min(0, dl), max(0, dl) + 1), 1: range(min(0, dr), max(0, dr) + 1)}
+        for a in range(S.LENGTH):
+            b, total = S.LENGTH - 1 - a, [1, 1]
+            if a > x[0] or b > x[1] or not 0 <= a + dl <= y[0] or not 0 <= b + dr <= y[1]:
+                continue
+            for way, n, d in ((-1, a, dl), (1, b, dr)):
+                total[0] += sum(any(cx.get(way * k) == cy.get(way * (k + e), -1) and k + e > 0 for e in shift[way]) for k in range(1, n + 1))
+                total[1] += sum(any(cy.get(way * k) == cx.get(way * (k - e), -1) and k - e > 0 for e in shift[way]) for k in range(1, n + d + 1))
+            if min(total) >= need:
+                best = [max(best[0], a + 1), max(best[1], b + 1)]
+    return best
+
+
+def test_similar_pairs_by_hand():
+    draw = random.Random(3)
+    lines = []
+    base = [draw.randrange(1, 256) for _ in range(200)]
+    for i in range(24):
+        codes = [*base]
+        for _ in range(i % 4):
+            at = draw.choice([k for k in range(60, 140) if k != 100])
+            if draw.random() < 0.5:
+                codes[at : at + 3] = [draw.randrange(1, 256) for _ in range(3)]
+            elif at > 100:
+                codes = [*codes[:at], draw.randrange(1, 256), *codes[at:]]
+            else:
+                codes = [*codes[1:at], draw.randrange(1, 256), *codes[at:]] if draw.random() < 0.5 else [0, *codes[:at], *codes[at + 1 :]]
+        xl, xr = draw.choice([(47, 47), (20, 47), (47, 30)])
+        body = codes[100 - S._SIDE : 101 + S._SIDE]
+        body = [v if -xl <= k - S._SIDE <= xr else 0 for k, v in enumerate(body)]
+        lines.append([xl, xr, *body])
+    x = np.array(lines, np.uint8)
+    apart = ~np.eye(len(x), dtype=bool)
+    good, mine, theirs = S._similar(x, x, apart)
+    want = [[similar_by_hand(p, q) if i != j else [0, 0] for j, q in enumerate(x.tolist())] for i, p in enumerate(x.tolist())]
+    assert (good == np.array(want).any(2)).all() and good.any() and not good[apart].all()
+    assert (mine == np.array(want).max(1)).all()
