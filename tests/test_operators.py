@@ -497,3 +497,19 @@ def test_dataset_plans(spark):
     manual = spark.createDataFrame([(2, "clean")], "item_number int, clean_transcript string")
     merged = datasets.merge_variants(years, manual, "item_number", ["item_number", "original_transcript"])
     assert rows(merged) == [(2, "b", "clean")]
+
+
+def test_scores_hold_few_rows_as_objects(spark, monkeypatch):
+    import pyarrow as pa
+    from palimpsest.functions import scores as S
+
+    seen = []
+
+    def count(u, v):
+        seen.append(len(u))
+        return [len(x) + len(y) for x, y in zip(u, v)]
+
+    a, b = pa.array(["a" * (i % 7) for i in range(1000)]), pa.array(["b"] * 1000)
+    assert S.sliced(count, a, b, pa.int32()).to_pylist() == [i % 7 + 1 for i in range(1000)]
+    assert max(seen) <= S.SLICE and sum(seen) == 1000
+    assert S.sliced(count, a[:0], b[:0], pa.int32()).to_pylist() == []
