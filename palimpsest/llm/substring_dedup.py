@@ -299,25 +299,28 @@ def _similar(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarra
     reach = np.zeros((2, len(x)), np.int32), np.zeros((2, len(y)), np.int32)
     left, right = (_hits(x[:, part], y[:, part]) for part in (slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)))
     (xl, xr), (yl, yr) = x[:, :2].T.astype(int), y[:, :2].T.astype(int)
-    for dl, dr in _MOVES:
+    # Stretches of LENGTH in x beside moved ones in y, and the other way round.
+    for (dl, dr), turned in [(m, t) for m in _MOVES for t in ((False, True) if any(m) else (False,))]:
         # Common shingles of stretches of LENGTH and LENGTH + dl + dr that give the similarity.
         need = int(np.ceil((2 * LENGTH + dl + dr) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
-        # Shingles before c in x, and b after it; those of y.
+        # Shingles before c in the first, and b after it; those of the other.
         a = np.arange(max(0, -dl), LENGTH - max(0, -dr))
         b = LENGTH - 1 - a
         a2, b2 = a + dl, b + dr
-        lead, back = (slice(int(v[0]), int(v[-1]) + 1) for v in (a, b[::-1]))
-        now = left[dl][0][lead] + right[dr][0][back][::-1] >= need - 1
-        if dl or dr:
-            lead, back = (slice(int(v[0]), int(v[-1]) + 1) for v in (a2, b2[::-1]))
-            now &= left[dl][1][lead] + right[dr][1][back][::-1] >= need - 1
-        now &= apart
-        now &= ((a[:, None] <= xl) & (b[:, None] <= xr))[:, :, None]
-        now &= ((a2[:, None] <= yl) & (b2[:, None] <= yr))[:, None, :]
-        for side, ends, axis in ((reach[0], (a, b), 2), (reach[1], (a2, b2), 1)):
+        ends = [(a, b), (a2, b2)]
+        one, two = (1, 0) if turned else (0, 1)
+        el, er = (-dl, -dr) if turned else (dl, dr)
+        now = apart[None]
+        for way, (p, q) in [(one, ends[0])] + ([(two, ends[1])] if dl or dr else []):
+            p, q = slice(int(p[0]), int(p[-1]) + 1), slice(int(q[-1]), int(q[0]) + 1)
+            now = now & (left[el][way][p] + right[er][way][q][::-1] >= need - 1)
+        mine, theirs = ends[one], ends[two]
+        now &= ((mine[0][:, None] <= xl) & (mine[1][:, None] <= xr))[:, :, None]
+        now &= ((theirs[0][:, None] <= yl) & (theirs[1][:, None] <= yr))[:, None, :]
+        for side, far, axis in ((reach[0], mine, 2), (reach[1], theirs, 1)):
             some = now.any(axis)
             for k in (0, 1):
-                np.maximum(side[k], (some * (ends[k] + 1)[:, None]).max(0), out=side[k])
+                np.maximum(side[k], (some * (far[k] + 1)[:, None]).max(0), out=side[k])
         good |= now.any(0)
     return good, reach[0].T, reach[1].T
 

@@ -132,8 +132,8 @@ def test_blocks_give_the_same(frame, monkeypatch):
 
 
 def similar_by_hand(x, y):
-    """Reach of stretches of x, by the definition, one pair at a time."""
-    side, best = S._SIDE, [0, 0]
+    """Reach of stretches of x, and of y, where those of x have ``LENGTH``; by the definition, one pair at a time."""
+    side, best, other = S._SIDE, [0, 0], [0, 0]
     cx, cy = ({k - side: int(v) for k, v in enumerate(w[2:]) if v} for w in (x, y))
     for dl, dr in S._MOVES:
         need = int(np.ceil((2 * S.LENGTH + dl + dr) * S.SIMILARITY / (1 + S.SIMILARITY) - 1e-9))
@@ -147,7 +147,8 @@ def similar_by_hand(x, y):
                 total[1] += sum(any(cy.get(way * k) == cx.get(way * (k - e), -1) and k - e > 0 for e in shift[way]) for k in range(1, n + d + 1))
             if min(total) >= need:
                 best = [max(best[0], a + 1), max(best[1], b + 1)]
-    return best
+                other = [max(other[0], a + dl + 1), max(other[1], b + dr + 1)]
+    return best, other
 
 
 def test_similar_pairs_by_hand():
@@ -171,6 +172,7 @@ def test_similar_pairs_by_hand():
     x = np.array(lines, np.uint8)
     apart = ~np.eye(len(x), dtype=bool)
     good, mine, theirs = S._similar(x, x, apart)
-    want = [[similar_by_hand(p, q) if i != j else [0, 0] for j, q in enumerate(x.tolist())] for i, p in enumerate(x.tolist())]
+    hand = [[similar_by_hand(p, q) if i != j else ([0, 0], [0, 0]) for j, q in enumerate(x.tolist())] for i, p in enumerate(x.tolist())]
+    want = [[np.maximum(hand[i][j][0], hand[j][i][1]) for j in range(len(x))] for i in range(len(x))]
     assert (good == np.array(want).any(2)).all() and good.any() and not good[apart].all()
     assert (mine == np.array(want).max(1)).all()
