@@ -470,6 +470,25 @@ def test_correction_metrics(spark):
         evaluate.correction_metrics(df, ["o"], [])
 
 
+def test_correction_metrics_search_each_original_once(spark):
+    rows = [(1, "A b, b", "A b, b", "A [b] c"), (2, None, "x", None), (3, "[x] y", "[x] y", ""), (4, "", "", "z")]
+    df = spark.createDataFrame(rows, "id long, o string, same string, other string")
+    out = evaluate.correction_metrics(df, ["o", "o"], ["same", "other"], keys=["id"])
+    searched = out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(o#")
+    assert searched == 1
+    found = {(r[0], r["corrected_column"]): tuple(r)[1:6] for r in out.collect()}
+    assert found == {
+        (1, "same"): (2, 2, 0, 0.0, 0),
+        (1, "other"): (2, 3, 1, 50.0, 1),
+        (2, "same"): (0, 0, 0, 0.0, 0),
+        (2, "other"): (0, 0, 0, 0.0, 0),
+        (3, "same"): (2, 2, 0, 0.0, 1),
+        (3, "other"): (2, 0, 0, 0.0, 0),
+        (4, "same"): (0, 0, 0, 0.0, 0),
+        (4, "other"): (0, 1, 1, 0.0, 0),
+    }
+
+
 def test_accuracy_and_consistency(spark):
     df = spark.createDataFrame(
         [("q", "the cat sat", "the cat sat", "a dog")], "question string, answer string, response_1 string, response_2 string"
