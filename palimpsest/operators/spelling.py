@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import patterns as P
-from palimpsest.functions.arrays import indexes, let
 from palimpsest.operators.quality import unknown_tokens
 
 MAX_EDITS = 2
@@ -36,33 +35,6 @@ def row_tokens(df: DataFrame, key: str, col: str) -> DataFrame:
     )
 
 
-def _deletions(w: Column) -> Column:
-    """The word and everything left after deleting one or two of its characters."""
-
-    def without(i: Column) -> Column:
-        """Character ``i`` dropped, then each later one dropped as well."""
-        parts = F.struct(
-            F.substring(w, F.lit(1), i).alias("left"),
-            F.substring(w, i + 2, F.length(w)).alias("right"),
-        )
-        return let(
-            parts,
-            lambda p: F.array_prepend(
-                F.transform(
-                    indexes(F.length(p["right"])),
-                    lambda j: F.concat(
-                        p["left"],
-                        F.substring(p["right"], F.lit(1), j),
-                        F.substring(p["right"], j + 2, F.length(p["right"])),
-                    ),
-                ),
-                F.concat(p["left"], p["right"]),
-            ),
-        )
-
-    return F.array_prepend(F.flatten(F.transform(indexes(F.length(w)), without)), w)
-
-
 def _segments(w: Column, length: Column, shifts: Column) -> Column:
     """Keys ``length|part|text`` of the three parts of a word of ``length`` characters.
 
@@ -81,28 +53,46 @@ def _segments(w: Column, length: Column, shifts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part))
 
 
-def _token_keys(w: Column) -> Column:
-    """Keys under which a dictionary word close to the token ``w`` may be found."""
-    none = F.array().cast("array<string>")
+def _token_segments(w: Column) -> Column:
+    """Keys under which a dictionary word matched by segments and close to the token ``w`` is found."""
     move = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
     lengths = F.filter(
         F.transform(move, lambda d: F.length(w) + d), lambda n: n > LONGEST_BY_DELETION
     )
-    probes = F.array_distinct(F.flatten(F.transform(lengths, lambda n: _segments(w, n, move))))
-    return F.concat(
-        F.when(F.length(w) <= LONGEST_BY_DELETION + MAX_EDITS, _deletions(w)).otherwise(none),
-        F.when(F.length(w) > LONGEST_BY_DELETION - MAX_EDITS, probes).otherwise(none),
-    )
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: _segments(w, n, move))))
+
 
+def _word_segments(w: Column) -> Column:
+    return _segments(w, F.length(w), F.array(F.lit(0)))
 
-def _word_keys(w: Column) -> Column:
-    whole = _segments(w, F.length(w), F.array(F.lit(0)))
-    return F.when(F.length(w) <= LONGEST_BY_DELETION, _deletions(w)).otherwise(whole)
 
+def _keyed(df: DataFrame, name: str, longest: int, segments: Column, beyond: int) -> DataFrame:
+    """One row per key, as a short hash; a collision only costs a distance computation.
 
-def _keyed(df: DataFrame, keys: Column) -> DataFrame:
-    """One row per key, as a short hash; a collision only costs a distance computation."""
-    return df.withColumn("_key", F.explode(keys)).withColumn("shared", F.xxhash64("_key")).drop("_key")
+    Words of up to ``longest`` characters give themselves and everything left after deleting one
+    or two of their characters; those of more than ``beyond``, which is no more than ``longest``,
+    give their ``segments``.  The deletions are made as rows of two places each, not as arrays of
+    texts, which took most of the time.
+    """
+    w, i, j, parts = F.col(name), F.col("_i"), F.col("_j"), F.col("_parts")
+    size = F.length(w)
+    # The first place deleted, or the length for none; -1 stands for the segments.
+    first = F.sequence(
+        F.when(size > beyond, -1).otherwise(0), F.when(size <= longest, size).otherwise(-1)
+    )
+    # The second one behind it, where the length is none again.
+    second = F.when(i < 0, F.sequence(F.lit(1), F.size(parts))).otherwise(
+        F.sequence(i + 1, F.greatest(size, i + 1))
+    )
+    rest = F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, j - i - 1), F.substring(w, j + 2, size))
+    return (
+        df.where(w.isNotNull())
+        .withColumn("_parts", F.when(size > beyond, segments))
+        .withColumn("_i", F.explode(first))
+        .withColumn("_j", F.explode(second))
+        .withColumn("shared", F.xxhash64(F.when(i < 0, F.get(parts, j - 1)).otherwise(rest)))
+        .drop("_parts", "_i", "_j")
+    )
 
 
 def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -111,8 +101,13 @@ def candidate_pairs(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     Found by one equi-join on shared keys; tokens and words are never crossed.
     """
     token, word = F.col("token"), F.col("word")
-    probes = _keyed(tokens.select("token"), _token_keys(token))
-    words = _keyed(dictionary.select("word", "freq"), _word_keys(word))
+    probes = _keyed(
+        tokens.select("token"), "token", LONGEST_BY_DELETION + MAX_EDITS,
+        _token_segments(token), LONGEST_BY_DELETION - MAX_EDITS,
+    )
+    words = _keyed(
+        dictionary.select("word", "freq"), "word", LONGEST_BY_DELETION, _word_segments(word), LONGEST_BY_DELETION
+    )
     return (
         probes.join(words, "shared")
         .withColumn("distance", F.levenshtein(token, word, MAX_EDITS))
@@ -139,7 +134,7 @@ def _recase(original: str, correction: str) -> str:
     return correction
 
 
-_WORD = re.compile(r"[\w']+")
+_WORD = re.compile(r"([\w']+)")
 
 
 @F.pandas_udf(T.StringType())
@@ -149,14 +144,13 @@ def _apply_fixes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
     def fix(text: str, wrong: Sequence[str] | None, right: Sequence[str] | None) -> str:
         if text is None or wrong is None:
             return text
-        fixes = dict(zip(wrong, right))
-
-        def swap(m: re.Match) -> str:
-            w = m.group(0)
-            found = fixes.get(w.lower())
-            return w if found is None else _recase(w, found)
-
-        return _WORD.sub(swap, text)
+        found = dict(zip(wrong, right)).get
+        # Every other piece is a word.
+        pieces = _WORD.split(text)
+        pieces[1::2] = [
+            w if (to := found(w.lower())) is None else _recase(w, to) for w in pieces[1::2]
+        ]
+        return "".join(pieces)
 
     for texts, wrong, right in batches:
         yield pd.Series([fix(*row) for row in zip(texts, wrong, right)], dtype=object)
@@ -172,11 +166,10 @@ def correct_spelling(
     one or two characters, digits and words without a candidate stay as they are.
     """
     tokens = row_tokens(df, key, col)
-    unknown = unknown_tokens(tokens.select("word").distinct(), dictionary)
-    fixes = suggest(unknown.withColumnRenamed("word", "token"), dictionary)
+    unknown = unknown_tokens(tokens, dictionary).withColumnRenamed("word", "token")
+    fixes = suggest(unknown.select("token").distinct(), dictionary)
     per_row = (
-        tokens.withColumnRenamed("word", "token")
-        .join(fixes, "token")
+        unknown.join(fixes, "token")
         .groupBy(key)
         .agg(F.collect_list(F.struct("token", "correction")).alias("_fixes"))
     )

@@ -60,6 +60,28 @@ def test_suggestions_equal_all_pairs(spark):
     assert any(len(t) > 26 for t in want) and any(len(t) < 8 for t in want)
 
 
+def test_deletion_keys_are_rows_of_two_places(spark):
+    """One row per deletion, made from places; no array holds the shortened texts of a word."""
+    tokens = ["", "é", "ab", "tablé", "x" * 22, "abcdefghijklmnopqrstuvwxyz", "a" * 27, None]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    keyed = spelling._keyed(df, "token", 26, F.array(F.lit("part"), F.lit("other")), 26)
+    got = Counter((r.token, r.shared) for r in keyed.collect())
+    left = [
+        (t, "".join(c for k, c in enumerate(t) if k not in (i, j)))
+        for t in tokens
+        if t is not None and len(t) <= 26
+        for i in range(len(t) + 1)
+        for j in range(i + 1, max(len(t), i + 1) + 1)
+    ]
+    assert len(left) == sum(1 + len(t) * (len(t) + 1) // 2 for t in tokens if t is not None and len(t) <= 26)
+    left += [("a" * 27, "part"), ("a" * 27, "other")]
+    hashed = spark.createDataFrame(left, "t string, k string").select("t", F.xxhash64("k").alias("h"))
+    assert got == Counter((r.t, r.h) for r in hashed.collect())
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(made) == 2 and not any("lambda" in line for line in made)
+
+
 def test_correct_spelling_keeps_case_and_surroundings(spark):
     dictionary = spark.createDataFrame(
         [("the", 9), ("board", 3), ("directors", 2), ("don't", 2), ("then", 1)], "word string, freq long"
