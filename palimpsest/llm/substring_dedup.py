@@ -14,7 +14,9 @@ All pairs of forms of a signature that stand in different documents are verified
 ``LENGTH`` shingles in a row, inside both windows, enough must stand in the other too for the Jaccard
 similarity, in place or moved by up to ``SHIFT`` on either side of c.  Equal passages are such pairs as well.
 The forms of a signature are cut into blocks of about ``BLOCK``, and each pair of blocks is
-worked on by itself, so a signature of many forms is spread over many tasks and none holds more than two blocks.  The
+worked on by itself, so a signature of many forms is spread over many tasks and none holds more than two blocks.  Windows
+too narrow for a stretch leave before, and pairs that miss too many shingles in any place of a stretch are passed over by
+counting those alone; the rest is verified, but for pairs of connected forms that can reach no farther than they do already.  The
 pairs are not written: as all similar stretches hold c, a form needs its farthest reach on either side
 and one link to the first form that similar pairs lead to.  Verified stretches of a document are merged, and those that are
 linked form a class.
@@ -44,8 +46,12 @@ SHIFT = 2
 FILTER_BITS, PART_BITS = 28, 19
 #: Forms of a signature in one block, about; pairs that are compared at once.
 BLOCK = 2048
-_ROWS, _COLUMNS = 64, 256
+_ROWS, _COLUMNS, _PAIRS = 64, 256, 1024
+#: Forms of small signatures that are worked on together, about.
+_HELD = 1024
 _SIDE = LENGTH - 1 + SHIFT
+#: The codes of a window before c and after it, leading away from it.
+_PARTS = slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,6 +244,11 @@ def _forms(rows: DataFrame) -> DataFrame:
     )
 
 
+def _byte(n: int) -> Column:
+    """The n-th byte of ``ctx``, from 1."""
+    return F.conv(F.hex(F.substring("ctx", n, 1)), 16, 10).cast("int")
+
+
 def _at_places(found: DataFrame, forms: DataFrame, places: DataFrame) -> DataFrame:
     """Links of forms at all places of the document: ``found`` names the form by its first place."""
     others = forms.where("twice").select("form", "fc").join(places, "form").where("c <> fc")
@@ -248,8 +259,7 @@ def _at_places(found: DataFrame, forms: DataFrame, places: DataFrame) -> DataFra
 
 def _copies(forms: DataFrame, places: DataFrame) -> DataFrame:
     """Every place of a form that stands in two documents beside its first, or its last, place."""
-    byte = [F.conv(F.hex(F.substring("ctx", n, 1)), 16, 10).cast("int").alias(v) for n, v in ((1, "xl"), (2, "xr"))]
-    shared = forms.where("not single").select("form", "fk", "fc", "mk", "mc", *byte)
+    shared = forms.where("not single").select("form", "fk", "fc", "mk", "mc", _byte(1).alias("xl"), _byte(2).alias("xr"))
     met = places.join(shared.hint("merge"), "form")
     own = F.col("key") == F.col("fk")
     met = met.withColumns({"key2": F.when(own, F.col("mk")).otherwise(F.col("fk")), "p": F.when(own, F.col("mc")).otherwise(F.col("fc"))})
@@ -261,14 +271,102 @@ _SPANS = ["key", "first", "last", "key2", "first2", "last2"]
 _MOVES = [(0, 0)] + [(d, 0) for d in range(-SHIFT, SHIFT + 1) if d] + [(0, d) for d in range(-SHIFT, SHIFT + 1) if d]
 
 
+def _needed(d: int) -> int:
+    """Common shingles of stretches of ``LENGTH`` and ``LENGTH + d`` that give the similarity."""
+    return int(np.ceil((2 * LENGTH + d) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+
+
+_SHIFTS = range(-SHIFT, SHIFT + 1)
+#: By a length that every similar stretch of a window has or passes: how many of its shingles may be missing in the other.
+_MISSING = {
+    LENGTH: max(max(LENGTH, LENGTH + d) - _needed(d) for d in _SHIFTS),
+    LENGTH - SHIFT: max((LENGTH + d - _needed(d) for d in _SHIFTS if d < 0), default=0),
+}
+
+
+def _missing(u: np.ndarray, v: np.ndarray, most: int, step: int) -> np.ndarray:
+    """For all lines of u against all of v, which lead away from c: how many of the first 0 to ``most`` codes of u
+    (every ``step``-th alone) stand in v neither in place nor moved by up to ``SHIFT``."""
+    size, u, v = u.shape[1], np.ascontiguousarray(u.T)[:, :, None], np.ascontiguousarray(v.T)[:, None, :]
+    out = np.zeros((most + 1, u.shape[1], v.shape[2]), np.uint8)
+    hit, moved = np.empty((2, *out.shape[1:]), bool)
+    for i in range(most):
+        if i % step:
+            out[i + 1] = out[i]
+            continue
+        np.equal(u[i], v[i], out=hit)
+        for e in _SHIFTS:
+            if e and 0 <= i + e < size:
+                np.equal(u[i], v[i + e], out=moved)
+                np.logical_or(hit, moved, out=hit)
+        np.logical_not(hit, out=hit)
+        if not u[i].all():
+            # A place outside of the window is missing.
+            np.logical_or(hit, u[i] == 0, out=hit)
+        np.add(out[i], hit.view(np.uint8), out=out[i + 1])
+    return out
+
+
+def _missing_in_all(x: np.ndarray, y: np.ndarray, most: list[int]) -> list[np.ndarray]:
+    """Before c and after it: of how many of the first codes no line of y has any that a line of x has there."""
+    (own, other), out = np.zeros((2, 2 * _SIDE + 1, 256), bool), []
+    for held, lines in ((own, x), (other, y)):
+        held[np.arange(2 * _SIDE + 1), lines[:, 2:]] = True
+        held[:, 0] = False
+    reached = other.copy()
+    for e in range(1, SHIFT + 1):
+        reached[e:] |= other[:-e]
+        reached[:-e] |= other[e:]
+    gone = ~(own & reached).any(1)
+    for part, m in zip((gone[_SIDE - 1 :: -1], gone[_SIDE + 1 :]), most, strict=True):
+        out.append(np.concatenate([[0], np.cumsum(part[:m])]).astype(np.uint8))
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """The pairs ``apart`` without those that miss too many shingles of x, wherever a stretch lies; loses no similar pair.
+
+    Where it is ``known`` which pairs are connected and how far x and y reach, connected ones must also be able to reach farther.
+    """
+    near = apart.copy()
+
+    def few(before: np.ndarray, after: np.ndarray, to: slice | None = None) -> np.ndarray:
+        some = np.zeros(before.shape[1:], bool)
+        for length, missing in _MISSING.items():
+            for a in range(max(0, length - len(after)), min(length, len(before))):
+                b = length - 1 - a
+                now = before[a] + after[b] <= missing
+                if known and to:
+                    # A stretch of x may be longer by the shift where this one ends at c, and its stretch in y is moved.
+                    joined, mine, theirs = known[0][:, to], known[1], known[2][to]
+                    farther = (a + 1 + SHIFT * (a == LENGTH - 1) > mine[:, 0]) | (b + 1 + SHIFT * (b == LENGTH - 1) > mine[:, 1])
+                    if not farther.all():
+                        now &= ~joined | farther[:, None] | (a + 1 + SHIFT > theirs[:, 0]) | (b + 1 + SHIFT > theirs[:, 1])
+                some |= now
+        return some
+
+    for j in range(0, len(y), _COLUMNS):
+        to = slice(j, j + _COLUMNS)
+        most = [min(LENGTH - 1, int(x[:, k].max()), int(y[to, k].max()) + SHIFT) for k in (0, 1)]
+        for step in (0, 4, 1):
+            # Few pairs are sooner verified at once.
+            if np.count_nonzero(near[:, to]) * 32 < near[:, to].size:
+                break
+            if step:
+                near[:, to] &= few(*(_missing(x[:, p], y[to, p], m, step) for p, m in zip(_PARTS, most, strict=True)), to)
+            else:
+                near[:, to] &= few(*_missing_in_all(x, y[to], most))
+    return near
+
+
 def _hits(u: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By shift d, for all lines of u against all of v, which lead away from c: how many of the first codes of
+    """By shift d, for lines of u against those of v, which lead away from c: how many of the first codes of
     u stand in v too, in place or moved by up to d, and how many of v's stand in u."""
-    size, u, v = u.shape[1], np.ascontiguousarray(u.T)[:, :, None], np.ascontiguousarray(v.T)[:, None, :]
-    inside, same = u > 0, {}
-    for e in range(-SHIFT, SHIFT + 1):
+    size, u, v = u.shape[-1], *(np.ascontiguousarray(np.moveaxis(w, -1, 0)) for w in (u, v))
+    inside, same, shape = u > 0, {}, np.broadcast_shapes(u.shape, v.shape)
+    for e in _SHIFTS:
         lo, hi = max(0, -e), size - max(0, e)
-        same[e] = np.zeros((size, u.shape[1], v.shape[2]), bool)
+        same[e] = np.zeros(shape, bool)
         np.equal(u[lo:hi], v[lo + e : hi + e], out=same[e][lo:hi])
         same[e] &= inside
 
@@ -290,54 +388,89 @@ def _hits(u: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarra
     return found
 
 
-def _similar(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the pairs ``apart`` of windows x and y are similar, and how far stretches of x, and of y, reach.
+def _matched(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs ``apart`` are similar, and how far stretches of the windows x, and y, reach before c and after it.
 
-    A reach is one more than the shingles before c, and after it; 0 where there is none.
+    All windows x (n, 1, bytes) are paired with all of y (1, n, bytes), or each with one of y (n, 1, bytes).
     """
-    good = np.zeros(apart.shape, bool)
-    reach = np.zeros((2, len(x)), np.int32), np.zeros((2, len(y)), np.int32)
-    left, right = (_hits(x[:, part], y[:, part]) for part in (slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)))
-    (xl, xr), (yl, yr) = x[:, :2].T.astype(int), y[:, :2].T.astype(int)
+    good, table = np.zeros(apart.shape, bool), len(y) == 1
+    reach = np.zeros((2, x.shape[0]), np.uint8), np.zeros((2, y.shape[0] * y.shape[1]), np.uint8)
+    left, right = (_hits(x[..., part], y[..., part]) for part in _PARTS)
+    (xl, xr), (yl, yr) = (np.moveaxis(w[..., :2], -1, 0) for w in (x, y))
     # Stretches of LENGTH in x beside moved ones in y, and the other way round.
     for (dl, dr), turned in [(m, t) for m in _MOVES for t in ((False, True) if any(m) else (False,))]:
-        # Common shingles of stretches of LENGTH and LENGTH + dl + dr that give the similarity.
-        need = int(np.ceil((2 * LENGTH + dl + dr) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+        need = _needed(dl + dr)
         # Shingles before c in the first, and b after it; those of the other.
-        a = np.arange(max(0, -dl), LENGTH - max(0, -dr))
+        a = np.arange(max(0, -dl), LENGTH - max(0, -dr), dtype=np.int16).astype(np.uint8)
         b = LENGTH - 1 - a
-        a2, b2 = a + dl, b + dr
-        ends = [(a, b), (a2, b2)]
+        ends = (a, b), tuple((v + np.int16(d)).astype(np.uint8) for v, d in ((a, dl), (b, dr)))
         one, two = (1, 0) if turned else (0, 1)
         el, er = (-dl, -dr) if turned else (dl, dr)
         now = apart[None]
         for way, (p, q) in [(one, ends[0])] + ([(two, ends[1])] if dl or dr else []):
             p, q = slice(int(p[0]), int(p[-1]) + 1), slice(int(q[-1]), int(q[0]) + 1)
             now = now & (left[el][way][p] + right[er][way][q][::-1] >= need - 1)
-        mine, theirs = ends[one], ends[two]
-        now &= ((mine[0][:, None] <= xl) & (mine[1][:, None] <= xr))[:, :, None]
-        now &= ((theirs[0][:, None] <= yl) & (theirs[1][:, None] <= yr))[:, None, :]
+        mine, theirs = ([v[:, None, None] for v in ends[k]] for k in (one, two))
+        now &= (mine[0] <= xl) & (mine[1] <= xr)
+        now &= (theirs[0] <= yl) & (theirs[1] <= yr)
+        met = now.any(0)
+        if not met.any():
+            continue
+        good |= met
         for side, far, axis in ((reach[0], mine, 2), (reach[1], theirs, 1)):
-            some = now.any(axis)
+            some = now.any(axis) if table else now[..., 0]
             for k in (0, 1):
-                np.maximum(side[k], (some * (far[k] + 1)[:, None]).max(0), out=side[k])
-        good |= now.any(0)
+                np.maximum(side[k], (some.view(np.uint8) * (far[k][:, 0] + np.uint8(1))).max(0), out=side[k])
+    return good, *reach
+
+
+def _similar(
+    x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs ``apart`` of windows x and y are similar, and how far stretches of x, and of y, reach.
+
+    A reach is one more than the shingles before c, and after it; 0 where there is none.  Pairs that add nothing to
+    what is ``known`` (see ``_near``) may be left out.
+    """
+    good = np.zeros(apart.shape, bool)
+    reach = np.zeros((2, len(x)), np.int32), np.zeros((2, len(y)), np.int32)
+    near = _near(x, y, apart, known)
+    for j in range(0, len(y), _COLUMNS):
+        to = slice(j, j + _COLUMNS)
+        # Many pairs are sooner compared as a table than one by one.
+        if len(x) <= _ROWS and np.count_nonzero(near[:, to]) * 4 > near[:, to].size:
+            good[:, to], mine, theirs = _matched(x[:, None], y[None, to], near[:, to])
+            np.maximum(reach[0], mine, out=reach[0])
+            np.maximum(reach[1][:, to], theirs, out=reach[1][:, to])
+            near[:, to] = False
+    lines = np.nonzero(near)
+    for k in range(0, len(lines[0]), _PAIRS):
+        i, j = (v[k : k + _PAIRS] for v in lines)
+        found, mine, theirs = _matched(x[i][:, None], y[j][:, None], np.ones((len(i), 1), bool))
+        good[i, j] = found[:, 0]
+        for side, at, far in ((reach[0], i, mine), (reach[1], j, theirs)):
+            for n in (0, 1):
+                np.maximum.at(side[n], at, far[n].astype(np.int32))
     return good, reach[0].T, reach[1].T
 
 
-def _labels(good: np.ndarray) -> np.ndarray:
-    """The first line that each line of a symmetric table is connected with."""
-    label = np.arange(len(good))
+def _connect(lead: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first line that each line is connected with, once lines i and j are too."""
     while True:
-        near = np.fromiter((label[g].min(initial=own) for g, own in zip(good, label, strict=True)), np.int64, len(good))
-        near = near[near]
-        if (near == label).all():
-            return label
-        label = near
+        a, b = lead[i], lead[j]
+        if (a == b).all():
+            return lead
+        np.minimum.at(lead, np.maximum(a, b), np.minimum(a, b))
+        while (lead != lead[lead]).any():
+            lead = lead[lead]
 
 
 def _blocks(forms: DataFrame) -> DataFrame:
-    """Every form once for each pair of blocks that it takes part in; signatures of one document are left out."""
+    """Every form once for each pair of blocks that it takes part in; signatures of one document are left out.
+
+    So are forms whose window is too narrow for any stretch, such as those at the later places of a repeated word.
+    """
+    forms = forms.where(_byte(1) + _byte(2) >= LENGTH - 1 - SHIFT)
     groups = forms.groupBy("sig").agg(F.count("*").alias("n"), F.min("fk").alias("lo"), F.max("mk").alias("hi"))
     groups = groups.where("n > 1 and lo <> hi").selectExpr("sig", f"int(ceil(n / {BLOCK})) blocks")
     dealt = forms.join(groups.hint("merge"), "sig").withColumn("own", F.expr("int(pmod(xxhash64(form), blocks))"))
@@ -349,41 +482,52 @@ def _blocks(forms: DataFrame) -> DataFrame:
 _FOUND = "form long, key long, first int, last int, key2 long, first2 int, last2 int"
 
 
+def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of a pair of blocks, or of several small signatures."""
+    n = rows.num_rows
+    x = np.frombuffer(b"".join(rows.column("ctx").to_pylist()), np.uint8).reshape(n, -1)
+    sig, own, key, key2 = (rows.column(c).to_numpy() for c in ("sig", "own", "fk", "mk"))
+    within = np.array(rows.column("within"))
+    reach, line = np.zeros((n, 2), np.int32), np.arange(n)
+    lead, full = line.copy(), np.zeros(n, bool)
+    # Neighbours in order first, as they are often similar: what they settle leaves fewer pairs of the rest.
+    # Where pairs are few, as between forms of many small signatures, all lines are one strip.
+    sizes = np.unique(sig, return_counts=True)[1]
+    height = _ROWS if (sizes**2).sum() * 32 > n * n else n
+    strips = range(0, n, height)
+    for i, j, k in [(i, i, i + height) for i in strips] + [(i, i + height, n) for i in strips[:-1]]:
+        at, beside = slice(i, i + height), slice(j, k)
+        # Forms of one document only, the same one, are no pair; nor is a form with itself.
+        alone = (key[at] == key2[at])[:, None] & (key[beside] == key2[beside]) & (key[at][:, None] == key[beside])
+        apart = ~alone & (line[at][:, None] < line[beside]) & (sig[at][:, None] == sig[beside])
+        apart &= within[at][:, None] | (own[at][:, None] != own[beside])
+        # A pair of connected forms that both reach their windows' ends can add nothing.
+        apart &= ~(full[at][:, None] & full[beside] & (lead[at][:, None] == lead[beside]))
+        to = np.flatnonzero(apart.any(0))
+        if not len(to):
+            continue
+        apart, to = apart[:, to], j + to
+        joined = lead[at][:, None] == lead[to]
+        found, mine, theirs = _similar(x[at], x[to], apart, (joined, reach[at], reach[to]))
+        reach[at] = np.maximum(reach[at], mine)
+        reach[to] = np.maximum(reach[to], theirs)
+        full = (reach > x[:, :2]).all(1)
+        one, two = np.nonzero(found)
+        lead = _connect(lead, i + one, to[two])
+    some = np.flatnonzero(reach[:, 0])
+    if len(some):
+        lead, c = lead[some], rows.column("fc").to_numpy()
+        form = rows.column("form").combine_chunks().take(pa.array(some))
+        ends = [(c[k] - reach[k, 0] + 1, c[k] + reach[k, 1] - 1) for k in (some, lead)]
+        (a, b), (a2, b2) = [[pa.array(v.astype(np.int32)) for v in e] for e in ends]
+        yield pa.RecordBatch.from_arrays(
+            [form, pa.array(key[some]), a, b, pa.array(key[lead]), a2, b2], names=[f.split()[0] for f in _FOUND.split(", ")]
+        )
+
+
 def _verified(blocks: DataFrame) -> DataFrame:
     """Each form's farthest stretch, beside the stretch of the first form that similar pairs lead to."""
-    sorted_ = blocks.repartition("pair").sortWithinPartitions("pair", "own", "form")
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The rows of a pair of blocks, or of several small signatures."""
-        n = rows.num_rows
-        x = np.frombuffer(b"".join(rows.column("ctx").to_pylist()), np.uint8).reshape(n, -1)
-        sig, own, key, key2 = (rows.column(c).to_numpy() for c in ("sig", "own", "fk", "mk"))
-        within = np.array(rows.column("within"))
-        good, reach, line = np.zeros((n, n), bool), np.zeros((n, 2), np.int32), np.arange(n)
-        for i in range(0, n, _ROWS):
-            at = slice(i, i + _ROWS)
-            for j in range(i, n, _COLUMNS):
-                to = slice(j, j + _COLUMNS)
-                # Forms of one document only, the same one, are no pair; nor is a form with itself.
-                alone = (key[at] == key2[at])[:, None] & (key[to] == key2[to]) & (key[at][:, None] == key[to])
-                apart = ~alone & (line[at][:, None] < line[to]) & (sig[at][:, None] == sig[to])
-                apart &= within[at][:, None] | (own[at][:, None] != own[to])
-                if not apart.any():
-                    continue
-                found, mine, theirs = _similar(x[at], x[to], apart)
-                good[at, to] |= found
-                reach[at] = np.maximum(reach[at], mine)
-                reach[to] = np.maximum(reach[to], theirs)
-        lead = _labels(good | good.T)
-        some = np.flatnonzero(reach[:, 0])
-        if len(some):
-            lead, c = lead[some], rows.column("fc").to_numpy()
-            form = rows.column("form").combine_chunks().take(pa.array(some))
-            ends = [(c[k] - reach[k, 0] + 1, c[k] + reach[k, 1] - 1) for k in (some, lead)]
-            (a, b), (a2, b2) = [[pa.array(v.astype(np.int32)) for v in e] for e in ends]
-            yield pa.RecordBatch.from_arrays(
-                [form, pa.array(key[some]), a, b, pa.array(key[lead]), a2, b2], names=[f.split()[0] for f in _FOUND.split(", ")]
-            )
+    sorted_ = blocks.repartition("pair").sortWithinPartitions("pair", "own", "sig", "ctx")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -393,13 +537,13 @@ def _verified(blocks: DataFrame) -> DataFrame:
             group = b.column("pair").to_numpy()
             starts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows]
             for lo, hi in zip(starts, starts[1:]):
-                if size >= _ROWS and group[lo] != last:
-                    yield from pairs(pa.Table.from_batches(held))
+                if size >= _HELD and group[lo] != last:
+                    yield from _settled(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(b.slice(lo, hi - lo))
                 size, last = size + hi - lo, group[lo]
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from _settled(pa.Table.from_batches(held))
 
     return sorted_.mapInArrow(check, _FOUND)
 

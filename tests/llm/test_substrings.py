@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from palimpsest.llm import substring_dedup as S
 
@@ -176,3 +178,68 @@ def test_similar_pairs_by_hand():
     want = [[np.maximum(hand[i][j][0], hand[j][i][1]) for j in range(len(x))] for i in range(len(x))]
     assert (good == np.array(want).any(2)).all() and good.any() and not good[apart].all()
     assert (mine == np.array(want).max(1)).all()
+
+
+def test_pairs_passed_over_are_not_similar():
+    draw = random.Random(5)
+    lines = []
+    # Repeated words of many lengths, each ahead of another repeated word, beside near copies of one passage.
+    base = [draw.randrange(1, 256) for _ in range(S._SIDE)]
+    for i in range(120):
+        run, own = draw.randrange(1, 47), [draw.randrange(1, 256) for _ in range(4)]
+        after = ([9] * run + own + [draw.randrange(20, 40)] * 50)[: S._SIDE]
+        lines.append([0, S._SIDE, *[0] * S._SIDE, 9, *after])
+        codes = [*base]
+        for _ in range(draw.randrange(9)):
+            codes[draw.randrange(S._SIDE)] = draw.randrange(1, 256)
+        lines.append([2, 45, *[0] * (S._SIDE - 2), 7, 8, 9, *codes[:45], 0, 0])
+    x = np.array(lines, np.uint8)
+    apart = np.triu(np.ones((len(x), len(x)), bool), 1)
+    near = S._near(x, x, apart)
+    i, j = np.nonzero(apart)
+    similar = np.zeros(apart.shape, bool)
+    similar[i, j] = S._matched(x[i][:, None], x[j][:, None], np.ones((len(i), 1), bool))[0][:, 0]
+    assert similar.any() and not (similar & ~near).any()
+    assert near.sum() < 0.4 * apart.sum()
+
+
+def test_few_pairs_of_repeated_words_are_verified(frame, monkeypatch):
+    # A word repeated on and on gives a form for each length left of it; most can hold no stretch, or are settled early.
+    draw, pairs, verified = random.Random(12), [], S._matched
+    rows = [(i, " ".join([*made(draw, 60), *["again"] * draw.randrange(60, 160), *made(draw, 60)])) for i in range(40)]
+    docs = frame(rows).select("doc_id", "text")
+    bits = np.full(1 << (S.FILTER_BITS - 3), 255, np.uint8)
+    forms = S._forms(S._around(docs, bits).withColumn("form", F.xxhash64("sig", "ctx")))
+    blocks = S._blocks(forms).collect()
+    assert blocks and all(r.ctx[0] + r.ctx[1] >= S.LENGTH - 1 - S.SHIFT for r in blocks)
+    groups = defaultdict(list)
+    for r in forms.collect():
+        groups[r.sig].append(r)
+    largest = max(groups.values(), key=len)
+    table = pa.table({
+        "pair": [0] * len(largest), "sig": [r.sig for r in largest], "own": [0] * len(largest), "within": [True] * len(largest),
+        "form": [r.form for r in largest], "ctx": [r.ctx for r in largest], "fk": [r.fk for r in largest], "fc": [r.fc for r in largest],
+        "mk": [r.mk for r in largest],
+    })
+
+    def counted(x, y, apart):
+        pairs.append(apart.size)
+        return verified(x, y, apart)
+
+    monkeypatch.setattr(S, "_matched", counted)
+    assert sum(b.num_rows for b in S._settled(table.sort_by("ctx")))
+    assert sum(pairs) < 0.1 * len(largest) ** 2 / 2
+
+
+def test_connected_lines():
+    draw = random.Random(13)
+    lead, links = np.arange(60), []
+    for _ in range(4):
+        more = [(draw.randrange(60), draw.randrange(60)) for _ in range(10)]
+        links += more
+        lead = S._connect(lead, *np.array(more).T)
+    want = list(range(60))
+    for _ in range(60):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert lead.tolist() == want
