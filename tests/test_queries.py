@@ -81,3 +81,13 @@ def test_summary_aggregates_before_its_only_shuffle(spark, sf_dir):
 
     plan = scan(profile.messy_summary(profile.messy_columns(load_table(spark, sf_dir, "documents"), "text"), ["lang"]))
     assert plan.count("Exchange") == 1 and "partial_count" in plan
+
+
+def test_mean_scores_holds_every_metric(spark, sf_dir, duck):
+    from palimpsest.operators import evaluate
+
+    want = {(f"response_{i}", m) for i in (1, 2, 3) for m in evaluate.METRICS}
+    wide = {r.model: r for r in QUERIES["mean_scores_wide"](spark, sf_dir).collect()}
+    got = {(r.model, r.metric): r.score for r in QUERIES["mean_scores"](spark, sf_dir).collect()}
+    assert set(got) == want == {tuple(r) for r in duck.execute(f"SELECT model, metric FROM ({SQL['mean_scores']})").fetchall()}
+    assert all(score == wide[model][metric] for (model, metric), score in got.items())
