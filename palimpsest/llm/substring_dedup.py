@@ -16,7 +16,8 @@ similarity, in place or moved by up to ``SHIFT`` on either side of c.  Equal pas
 The forms of a signature are cut into blocks of about ``BLOCK``, and each pair of blocks is
 worked on by itself, so a signature of many forms is spread over many tasks and none holds more than two blocks.  Windows
 too narrow for a stretch leave before, and pairs that miss too many shingles in any place of a stretch are passed over by
-counting those alone; the rest is verified, but for pairs of connected forms that can reach no farther than they do already.  The
+counting those alone, 64 pairs at once.  For the others bounds are counted of how far their stretches can reach; they are verified,
+those that can reach farthest first, but for pairs of connected forms that can reach no farther than they do already.  The
 pairs are not written: as all similar stretches hold c, a form needs its farthest reach on either side
 and one link to the first form that similar pairs lead to.  Verified stretches of a document are merged, and those that are
 linked form a class.
@@ -25,6 +26,7 @@ linked form a class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,11 @@ HASHES = 3
 SHIFT = 2
 #: Bits of the filter of shared signatures (32 MB at any size of the data), in parts of 64 KB.
 FILTER_BITS, PART_BITS = 28, 19
-#: Forms of a signature in one block, about; pairs that are compared at once.
+#: Forms of a signature in one block, about; forms that are compared with all others at once, and pairs that are verified at once.
 BLOCK = 2048
-_ROWS, _COLUMNS, _PAIRS = 64, 256, 1024
-#: Forms of small signatures that are worked on together, about.
-_HELD = 1024
+_ROWS, _PAIRS = 256, 2048
+#: Forms of a small signature, at most, and of small signatures that are worked on together, about.
+_SMALL, _HELD = 128, 8192
 _SIDE = LENGTH - 1 + SHIFT
 #: The codes of a window before c and after it, leading away from it.
 _PARTS = slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)
@@ -75,7 +77,7 @@ def joined(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sizes = np.array([len(t) for t in texts])
     n, digest = int(sizes.sum()), xxhash.xxh64_intdigest
     words = np.zeros(n + SHINGLE - 1, np.uint64)
-    words[:n] = np.fromiter((digest(w) for t in texts for w in t), np.uint64, n)
+    words[:n] = np.fromiter(map(digest, chain.from_iterable(texts)), np.uint64, n)
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = out * _M + words[k : k + n]
@@ -277,126 +279,177 @@ def _needed(d: int) -> int:
 
 
 _SHIFTS = range(-SHIFT, SHIFT + 1)
-#: By a length that every similar stretch of a window has or passes: how many of its shingles may be missing in the other.
-_MISSING = {
-    LENGTH: max(max(LENGTH, LENGTH + d) - _needed(d) for d in _SHIFTS),
-    LENGTH - SHIFT: max((LENGTH + d - _needed(d) for d in _SHIFTS if d < 0), default=0),
-}
-
-
-def _missing(u: np.ndarray, v: np.ndarray, most: int, step: int) -> np.ndarray:
-    """For all lines of u against all of v, which lead away from c: how many of the first 0 to ``most`` codes of u
-    (every ``step``-th alone) stand in v neither in place nor moved by up to ``SHIFT``."""
-    size, u, v = u.shape[1], np.ascontiguousarray(u.T)[:, :, None], np.ascontiguousarray(v.T)[:, None, :]
-    out = np.zeros((most + 1, u.shape[1], v.shape[2]), np.uint8)
-    hit, moved = np.empty((2, *out.shape[1:]), bool)
-    for i in range(most):
-        if i % step:
-            out[i + 1] = out[i]
+#: How many of the ``LENGTH`` shingles of a stretch may be missing in the other; a shorter one is such a stretch with others around it.
+_MISSING = max(max(LENGTH, LENGTH + d) - _needed(d) for d in _SHIFTS)
+#: As many miss only where stretches of ``LENGTH - SHIFT`` miss few; other ones miss fewer.
+_SPARE = LENGTH - SHIFT - _needed(-SHIFT)
+_FEWER = max(max(LENGTH, LENGTH + d) - _needed(d) for d in _SHIFTS if abs(d) < SHIFT)
+
+
+def _words(table: np.ndarray) -> np.ndarray:
+    """The lines of a table of truth values as bits of 64-bit numbers."""
+    packed = np.packbits(table, axis=-1, bitorder="little")
+    out = np.zeros((*packed.shape[:-1], -(-packed.shape[-1] // 8) * 8), np.uint8)
+    out[..., : packed.shape[-1]] = packed
+    return out.view(np.uint64)
+
+
+def _holders(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Before c and after it: which lines of y hold a code at a place that leads away from c, or up to ``SHIFT`` beside it, as bits."""
+    codes, out = np.arange(1, 256, dtype=np.uint8)[:, None], []
+    for part in _PARTS:
+        places = np.ascontiguousarray(y[:, part].T)
+        # Code 0 is no shingle: no line holds it.
+        held = np.zeros((len(places), 256, -(-len(y) // 64)), np.uint64)
+        for line, bits in zip(places, held, strict=True):
+            bits[1:] = _words(codes == line)
+        near = held.copy()
+        for e in range(1, SHIFT + 1):
+            near[e:] |= held[:-e]
+            near[:-e] |= held[e:]
+        out.append(near[: LENGTH - 1])
+    return out[0], out[1]
+
+
+def _reaches(a: np.ndarray, more: int) -> np.ndarray:
+    """How far a window with a stretch of ``LENGTH`` can reach that has a of its shingles on this side, or ``more``; if it ends at c,
+    a stretch may be longer."""
+    return a + 1 + np.where(a == LENGTH - 1, SHIFT, more)
+
+
+def _near(
+    x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None, holders: tuple[np.ndarray, ...] | None = None
+) -> np.ndarray:
+    """The pairs ``apart`` without those that miss too many shingles of x, wherever a stretch lies; loses no similar pair.
+
+    Where it is ``known`` how x and y are connected and how far they reach, connected pairs must also be able to reach farther.
+    64 pairs are counted at once: level k of a count has a bit for each pair that misses k shingles at most so far.
+    """
+    before, after = holders or _holders(y)
+    bits = _words(apart)
+    near, shape = np.zeros_like(bits), (_MISSING + 1, *bits.shape)
+
+    def counts(held: np.ndarray, part: slice) -> Iterator[np.ndarray]:
+        places = np.ascontiguousarray(x[:, part].T)
+        level, some = np.full(shape, ~np.uint64(0)), np.empty((_MISSING, *bits.shape), np.uint64)
+        yield level
+        for lines, has in zip(places, held):
+            hit = has[lines]
+            np.bitwise_or(level[:-1], hit, out=some)
+            level[1:] &= some
+            level[0] &= hit
+            yield level
+
+    # No stretch goes on where more places than may be missing lie outside of all windows.
+    most = min(LENGTH, int(x[:, 0].max(initial=0)) + _MISSING + 1)
+    left = [level.copy() for _, level in zip(range(most), counts(before, _PARTS[0]))]
+    a = np.arange(LENGTH)
+    if known:
+        lead, reach, lead2, reach2 = known
+        loose = ~_words(lead[:, None] == lead2)
+
+        def farther(w: np.ndarray, far: np.ndarray, more: int) -> np.ndarray:
+            ends = np.minimum(_reaches(a, more), w[:, :1] + 1) > far[:, :1], np.minimum(_reaches(a[::-1], more), w[:, 1:2] + 1) > far[:, 1:]
+            return ends[0] | ends[1]
+
+        mine = farther(x[:, :2].astype(int), reach, 0).T
+        theirs = _words(farther(y[:, :2].astype(int), reach2, SHIFT).T)
+    for b, level in enumerate(counts(after, _PARTS[1])):
+        k = LENGTH - 1 - b
+        if k >= most:
             continue
-        np.equal(u[i], v[i], out=hit)
-        for e in _SHIFTS:
-            if e and 0 <= i + e < size:
-                np.equal(u[i], v[i + e], out=moved)
-                np.logical_or(hit, moved, out=hit)
-        np.logical_not(hit, out=hit)
-        if not u[i].all():
-            # A place outside of the window is missing.
-            np.logical_or(hit, u[i] == 0, out=hit)
-        np.add(out[i], hit.view(np.uint8), out=out[i + 1])
+        now = np.bitwise_or.reduce(left[k] & level[::-1], axis=0)
+        if known:
+            now &= np.where(mine[k][:, None], ~np.uint64(0), loose | theirs[k])
+        near |= now
+    near &= bits
+    return np.unpackbits(near.view(np.uint8), axis=1, count=apart.shape[1], bitorder="little").view(bool)
+
+
+def _counted(hit: np.ndarray) -> np.ndarray:
+    """How many of the first places, from none to all, are not hit."""
+    out = np.zeros((len(hit) + 1, hit.shape[1]), np.uint8)
+    np.logical_not(hit, out=out[1:].view(bool))
+    for i in range(len(hit)):
+        np.add(out[i], out[i + 1], out=out[i + 1])
     return out
 
 
-def _missing_in_all(x: np.ndarray, y: np.ndarray, most: list[int]) -> list[np.ndarray]:
-    """Before c and after it: of how many of the first codes no line of y has any that a line of x has there."""
-    (own, other), out = np.zeros((2, 2 * _SIDE + 1, 256), bool), []
-    for held, lines in ((own, x), (other, y)):
-        held[np.arange(2 * _SIDE + 1), lines[:, 2:]] = True
-        held[:, 0] = False
-    reached = other.copy()
-    for e in range(1, SHIFT + 1):
-        reached[e:] |= other[:-e]
-        reached[:-e] |= other[e:]
-    gone = ~(own & reached).any(1)
-    for part, m in zip((gone[_SIDE - 1 :: -1], gone[_SIDE + 1 :]), most, strict=True):
-        out.append(np.concatenate([[0], np.cumsum(part[:m])]).astype(np.uint8))
+def _bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of x each with one of y: how far before c and after it a stretch of x, and of y, can reach at most, and how far
+    both reach with stretches in place; 0 where a pair misses too many shingles."""
+    misses, plain = ([], []), []
+    for part in _PARTS:
+        u, v = (np.ascontiguousarray(w[:, part].T) for w in (x, y))
+        size, hits = len(u), (np.zeros(u.shape, bool), np.zeros(u.shape, bool))
+        for d in _SHIFTS:
+            lo, hi = max(0, -d), size - max(0, d)
+            same = u[lo:hi] == v[lo + d : hi + d]
+            hits[0][lo:hi] |= same
+            hits[1][lo + d : hi + d] |= same
+            if not d:
+                plain.append(_counted(same))
+        # A place outside of the window is missing.
+        for out, hit, w in zip(misses, hits, (u, v)):
+            out.append(_counted(np.logical_and(hit, w, out=hit)))
+    reach, far, possible = np.arange(1, LENGTH + 1, dtype=np.uint8)[:, None], [], np.ones(len(x), bool)
+    back = slice(LENGTH - 1, None, -1)
+    for n, (w, (left, right)) in enumerate(zip((x, y), misses)):
+        total = left[:LENGTH] + right[back]
+        some = total <= _MISSING
+        # Only beside a shorter stretch, its own one or the other's, that misses less.
+        spare = np.full_like(total, 255)
+        for a, b in misses:
+            np.minimum(spare[SHIFT:], a[: LENGTH - SHIFT] + b[back][SHIFT:], out=spare[SHIFT:])
+            np.minimum(spare[: LENGTH - SHIFT], a[: LENGTH - SHIFT] + b[LENGTH - 1 - SHIFT :: -1], out=spare[: LENGTH - SHIFT])
+        some &= (total <= _FEWER) | (spare <= _SPARE)
+        possible &= some.any(0)
+        ends = [(some * reach).max(0), (some * reach[::-1]).max(0)]
+        others = misses[1 - n]
+        for end, (own, rest), (other, rest2) in zip(ends, ((left, right), (right, left)), (others, others[::-1])):
+            # A stretch that ends at c, or soon after it, may be longer on this side than LENGTH.
+            for more, d in [(m, d) for m in range(1, SHIFT + 1) for d in range(m, SHIFT + 1)]:
+                b, need = d - more, _needed(d)
+                longer = (other[LENGTH - 1 - b] + rest2[b] <= LENGTH - need) & (own[LENGTH - 1 + more] + rest[b] <= LENGTH + d - need)
+                end[longer] = LENGTH + more
+        far.append(np.minimum(np.array(ends).T, w[:, :2] + 1))
+    left, right = np.minimum(x[:, :2], y[:, :2]).T
+    some = plain[0][:LENGTH] + plain[1][back] <= LENGTH - _needed(0)
+    some &= (reach <= left + 1) & (reach[::-1] <= right + 1)
+    same = np.array([(some * reach).max(0), (some * reach[::-1]).max(0)]).T
+    return far[0] * possible[:, None], far[1] * possible[:, None], same
+
+
+def _hits(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``[i, d, way]`` for lines of u each with one of v, which lead away from c: how many of the first i codes of u (way 0) stand
+    in v too, in place or moved by up to d, and how many of v's (way 1) stand in u."""
+    u, v = (np.ascontiguousarray(w.T) for w in (u, v))
+    size, n = u.shape
+    out = np.zeros((size + 1, len(_SHIFTS), 2, n), np.uint8)
+    hit, inside = out[1:].view(bool), u > 0
+    for d in sorted(_SHIFTS, key=abs):
+        lo, hi = max(0, -d), size - max(0, d)
+        same = u[lo:hi] == v[lo + d : hi + d]
+        same &= inside[lo:hi]
+        # What a smaller move finds stays found; code j of v stands at j - d in u.
+        if d:
+            hit[:, d] = hit[:, d - 1 if d > 0 else d + 1]
+        hit[lo:hi, d, 0] |= same
+        hit[lo + d : hi + d, d, 1] |= same
+    for i in range(size):
+        np.add(out[i], out[i + 1], out=out[i + 1])
     return out
 
 
-def _near(x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-    """The pairs ``apart`` without those that miss too many shingles of x, wherever a stretch lies; loses no similar pair.
-
-    Where it is ``known`` which pairs are connected and how far x and y reach, connected ones must also be able to reach farther.
-    """
-    near = apart.copy()
-
-    def few(before: np.ndarray, after: np.ndarray, to: slice | None = None) -> np.ndarray:
-        some = np.zeros(before.shape[1:], bool)
-        for length, missing in _MISSING.items():
-            for a in range(max(0, length - len(after)), min(length, len(before))):
-                b = length - 1 - a
-                now = before[a] + after[b] <= missing
-                if known and to:
-                    # A stretch of x may be longer by the shift where this one ends at c, and its stretch in y is moved.
-                    joined, mine, theirs = known[0][:, to], known[1], known[2][to]
-                    farther = (a + 1 + SHIFT * (a == LENGTH - 1) > mine[:, 0]) | (b + 1 + SHIFT * (b == LENGTH - 1) > mine[:, 1])
-                    if not farther.all():
-                        now &= ~joined | farther[:, None] | (a + 1 + SHIFT > theirs[:, 0]) | (b + 1 + SHIFT > theirs[:, 1])
-                some |= now
-        return some
-
-    for j in range(0, len(y), _COLUMNS):
-        to = slice(j, j + _COLUMNS)
-        most = [min(LENGTH - 1, int(x[:, k].max()), int(y[to, k].max()) + SHIFT) for k in (0, 1)]
-        for step in (0, 4, 1):
-            # Few pairs are sooner verified at once.
-            if np.count_nonzero(near[:, to]) * 32 < near[:, to].size:
-                break
-            if step:
-                near[:, to] &= few(*(_missing(x[:, p], y[to, p], m, step) for p, m in zip(_PARTS, most, strict=True)), to)
-            else:
-                near[:, to] &= few(*_missing_in_all(x, y[to], most))
-    return near
-
-
-def _hits(u: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By shift d, for lines of u against those of v, which lead away from c: how many of the first codes of
-    u stand in v too, in place or moved by up to d, and how many of v's stand in u."""
-    size, u, v = u.shape[-1], *(np.ascontiguousarray(np.moveaxis(w, -1, 0)) for w in (u, v))
-    inside, same, shape = u > 0, {}, np.broadcast_shapes(u.shape, v.shape)
-    for e in _SHIFTS:
-        lo, hi = max(0, -e), size - max(0, e)
-        same[e] = np.zeros(shape, bool)
-        np.equal(u[lo:hi], v[lo + e : hi + e], out=same[e][lo:hi])
-        same[e] &= inside
-
-    def counted(hit: np.ndarray) -> np.ndarray:
-        out = np.zeros((size + 1, *hit.shape[1:]), np.uint8)
-        for i in range(size):
-            np.add(out[i], hit[i].view(np.uint8), out=out[i + 1])
-        return out
-
-    found = {0: (counted(same[0]),) * 2}
-    for way in (-1, 1):
-        ours, theirs = same[0].copy(), same[0].copy()
-        for d in range(way, way * (SHIFT + 1), way):
-            ours |= same[d]
-            # Code j of v stands at j - d in u.
-            lo, hi = max(0, d), size + min(0, d)
-            theirs[lo:hi] |= same[d][lo - d : hi - d]
-            found[d] = counted(ours), counted(theirs)
-    return found
-
-
 def _matched(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the pairs ``apart`` are similar, and how far stretches of the windows x, and y, reach before c and after it.
 
-    All windows x (n, 1, bytes) are paired with all of y (1, n, bytes), or each with one of y (n, 1, bytes).
+    Each window of x (n, 1, bytes) is paired with one of y (n, 1, bytes).
     """
-    good, table = np.zeros(apart.shape, bool), len(y) == 1
-    reach = np.zeros((2, x.shape[0]), np.uint8), np.zeros((2, y.shape[0] * y.shape[1]), np.uint8)
-    left, right = (_hits(x[..., part], y[..., part]) for part in _PARTS)
-    (xl, xr), (yl, yr) = (np.moveaxis(w[..., :2], -1, 0) for w in (x, y))
+    x, y = x[:, 0], y[:, 0]
+    good, reach = np.zeros(len(x), bool), np.zeros((2, 2, len(x)), np.uint8)
+    left, right = (_hits(x[:, part], y[:, part]) for part in _PARTS)
+    (xl, xr), (yl, yr) = x[:, :2].T, y[:, :2].T
     # Stretches of LENGTH in x beside moved ones in y, and the other way round.
     for (dl, dr), turned in [(m, t) for m in _MOVES for t in ((False, True) if any(m) else (False,))]:
         need = _needed(dl + dr)
@@ -406,52 +459,98 @@ def _matched(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarra
         ends = (a, b), tuple((v + np.int16(d)).astype(np.uint8) for v, d in ((a, dl), (b, dr)))
         one, two = (1, 0) if turned else (0, 1)
         el, er = (-dl, -dr) if turned else (dl, dr)
-        now = apart[None]
+        now = apart.T
         for way, (p, q) in [(one, ends[0])] + ([(two, ends[1])] if dl or dr else []):
             p, q = slice(int(p[0]), int(p[-1]) + 1), slice(int(q[-1]), int(q[0]) + 1)
-            now = now & (left[el][way][p] + right[er][way][q][::-1] >= need - 1)
-        mine, theirs = ([v[:, None, None] for v in ends[k]] for k in (one, two))
+            now = now & (left[p, el, way] + right[q, er, way][::-1] >= need - 1)
+        mine, theirs = ([v[:, None] for v in ends[k]] for k in (one, two))
         now &= (mine[0] <= xl) & (mine[1] <= xr)
         now &= (theirs[0] <= yl) & (theirs[1] <= yr)
         met = now.any(0)
         if not met.any():
             continue
         good |= met
-        for side, far, axis in ((reach[0], mine, 2), (reach[1], theirs, 1)):
-            some = now.any(axis) if table else now[..., 0]
+        for side, far in ((reach[0], mine), (reach[1], theirs)):
             for k in (0, 1):
-                np.maximum(side[k], (some.view(np.uint8) * (far[k][:, 0] + np.uint8(1))).max(0), out=side[k])
+                np.maximum(side[k], (now * (far[k] + np.uint8(1))).max(0), out=side[k])
+    return good[:, None], *reach
+
+
+def _first(of: np.ndarray, far: np.ndarray, size: int) -> np.ndarray:
+    """For each number of ``of``, below ``size``, a place where ``far`` is its greatest."""
+    best, at = np.zeros(size, far.dtype), np.full(size, -1)
+    np.maximum.at(best, of, far)
+    places = np.flatnonzero(far == best[of])
+    at[of[places]] = places
+    return at[at >= 0]
+
+
+def _compared(
+    x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, known: tuple[np.ndarray, ...] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs of lines i of x and j of y are similar, and how far stretches of x, and of y, reach.
+
+    A reach is one more than the shingles before c, and after it; 0 where there is none.  Where it is ``known`` how x and y
+    are connected and how far they reach, those pairs go first that let a line reach farthest, and connected pairs that can
+    reach no farther than is found by then are left out.
+    """
+    good, reach = np.zeros(len(i), bool), (np.zeros((len(x), 2), np.int32), np.zeros((len(y), 2), np.int32))
+    parts = [_bounds(x[i[k : k + _PAIRS]], y[j[k : k + _PAIRS]]) for k in range(0, len(i), _PAIRS)]
+    if not parts:
+        return good, *reach
+    far, far2, same = (np.concatenate(v) for v in zip(*parts))
+    left = np.flatnonzero(far[:, 0])
+    if known:
+        lead, _, lead2, _ = known
+        both = np.unique(np.concatenate([lead, lead2]), return_inverse=True)[1]
+        of, of2 = both[: len(x)], both[len(x) :]
+        good, reach = same[:, 0] > 0, (known[1].copy(), known[3].copy())
+        for side, to in ((reach[0], i), (reach[1], j)):
+            for n in (0, 1):
+                np.maximum.at(side[:, n], to, same[:, n].astype(np.int32))
+        group = _connect(np.arange(len(both)), of[i[good]], of2[j[good]])
+    for picked in (True, False):
+        now = left
+        if known:
+            p, q = i[left], j[left]
+            gains = far[left] > reach[0][p], far2[left] > reach[1][q]
+            loose = group[of[p]] != group[of2[q]]
+            now = np.flatnonzero(gains[0].any(1) | gains[1].any(1) | loose)
+            if picked and len(now) > _PAIRS:
+                picks = []
+                for to, size, ahead, gain in ((p, len(x), far[left], gains[0]), (q, len(y), far2[left], gains[1])):
+                    for want, end in ((gain[:, 0], ahead[:, 0]), (gain[:, 1], ahead[:, 1]), (loose, ahead.sum(1))):
+                        at = np.flatnonzero(want)
+                        picks.append(at[_first(to[at], end[at], size)])
+                now = np.unique(np.concatenate(picks))
+            now, left = left[now], np.delete(left, now)
+        for k in range(0, len(now), _PAIRS):
+            at = now[k : k + _PAIRS]
+            p, q = i[at], j[at]
+            found, mine, theirs = _matched(x[p][:, None], y[q][:, None], np.ones((len(at), 1), bool))
+            good[at] = found[:, 0]
+            for side, to, ends in ((reach[0], p, mine), (reach[1], q, theirs)):
+                for n in (0, 1):
+                    np.maximum.at(side[:, n], to, ends[n].astype(np.int32))
+        if not known:
+            break
+        p = now[good[now]]
+        group = _connect(group, of[i[p]], of2[j[p]])
     return good, *reach
 
 
 def _similar(
-    x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None
+    x: np.ndarray, y: np.ndarray, apart: np.ndarray, known: tuple[np.ndarray, ...] | None = None, holders: tuple[np.ndarray, ...] | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which of the pairs ``apart`` of windows x and y are similar, and how far stretches of x, and of y, reach.
 
-    A reach is one more than the shingles before c, and after it; 0 where there is none.  Pairs that add nothing to
-    what is ``known`` (see ``_near``) may be left out.
+    Pairs that add nothing to what is ``known`` (see ``_compared``) may be left out.
     """
     good = np.zeros(apart.shape, bool)
-    reach = np.zeros((2, len(x)), np.int32), np.zeros((2, len(y)), np.int32)
-    near = _near(x, y, apart, known)
-    for j in range(0, len(y), _COLUMNS):
-        to = slice(j, j + _COLUMNS)
-        # Many pairs are sooner compared as a table than one by one.
-        if len(x) <= _ROWS and np.count_nonzero(near[:, to]) * 4 > near[:, to].size:
-            good[:, to], mine, theirs = _matched(x[:, None], y[None, to], near[:, to])
-            np.maximum(reach[0], mine, out=reach[0])
-            np.maximum(reach[1][:, to], theirs, out=reach[1][:, to])
-            near[:, to] = False
-    lines = np.nonzero(near)
-    for k in range(0, len(lines[0]), _PAIRS):
-        i, j = (v[k : k + _PAIRS] for v in lines)
-        found, mine, theirs = _matched(x[i][:, None], y[j][:, None], np.ones((len(i), 1), bool))
-        good[i, j] = found[:, 0]
-        for side, at, far in ((reach[0], i, mine), (reach[1], j, theirs)):
-            for n in (0, 1):
-                np.maximum.at(side[n], at, far[n].astype(np.int32))
-    return good, reach[0].T, reach[1].T
+    i, j = np.nonzero(_near(x, y, apart, known, holders))
+    found, *reach = _compared(x, y, i, j, known)
+    good[i[found], j[found]] = True
+    return good, *reach
 
 
 def _connect(lead: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -485,35 +584,48 @@ _FOUND = "form long, key long, first int, last int, key2 long, first2 int, last2
 def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """The rows of a pair of blocks, or of several small signatures."""
     n = rows.num_rows
+    small = np.unique(rows.column("sig").to_numpy(), return_counts=True)[1].max() <= _SMALL
     x = np.frombuffer(b"".join(rows.column("ctx").to_pylist()), np.uint8).reshape(n, -1)
     sig, own, key, key2 = (rows.column(c).to_numpy() for c in ("sig", "own", "fk", "mk"))
     within = np.array(rows.column("within"))
-    reach, line = np.zeros((n, 2), np.int32), np.arange(n)
-    lead, full = line.copy(), np.zeros(n, bool)
-    # Neighbours in order first, as they are often similar: what they settle leaves fewer pairs of the rest.
-    # Where pairs are few, as between forms of many small signatures, all lines are one strip.
-    sizes = np.unique(sig, return_counts=True)[1]
-    height = _ROWS if (sizes**2).sum() * 32 > n * n else n
-    strips = range(0, n, height)
-    for i, j, k in [(i, i, i + height) for i in strips] + [(i, i + height, n) for i in strips[:-1]]:
-        at, beside = slice(i, i + height), slice(j, k)
-        # Forms of one document only, the same one, are no pair; nor is a form with itself.
-        alone = (key[at] == key2[at])[:, None] & (key[beside] == key2[beside]) & (key[at][:, None] == key[beside])
-        apart = ~alone & (line[at][:, None] < line[beside]) & (sig[at][:, None] == sig[beside])
-        apart &= within[at][:, None] | (own[at][:, None] != own[beside])
-        # A pair of connected forms that both reach their windows' ends can add nothing.
-        apart &= ~(full[at][:, None] & full[beside] & (lead[at][:, None] == lead[beside]))
-        to = np.flatnonzero(apart.any(0))
-        if not len(to):
-            continue
-        apart, to = apart[:, to], j + to
-        joined = lead[at][:, None] == lead[to]
-        found, mine, theirs = _similar(x[at], x[to], apart, (joined, reach[at], reach[to]))
-        reach[at] = np.maximum(reach[at], mine)
-        reach[to] = np.maximum(reach[to], theirs)
-        full = (reach > x[:, :2]).all(1)
-        one, two = np.nonzero(found)
-        lead = _connect(lead, i + one, to[two])
+    reach, line, lead = np.zeros((n, 2), np.int32), np.arange(n), np.arange(n)
+
+    def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # Forms of one document only, the same one, are no pair.
+        alone = (key[i] == key2[i]) & (key[j] == key2[j]) & (key[i] == key[j])
+        return ~alone & (sig[i] == sig[j]) & (within[i] | (own[i] != own[j]))
+
+    if small:
+        # Neighbours in order first, as they are often similar: what they settle leaves fewer pairs of the rest.
+        size, step = int(np.unique(sig, return_counts=True)[1].max()), 1
+        while step < size:
+            i = np.concatenate([line[:-r] for r in range(step, min(2 * step, size))])
+            j = np.concatenate([line[r:] for r in range(step, min(2 * step, size))])
+            at = np.flatnonzero(sig[i] == sig[j])
+            i, j = i[at], j[at]
+            full = (reach > x[:, :2]).all(1)
+            at = np.flatnonzero(differ(i, j) & ~(full[i] & full[j] & (lead[i] == lead[j])))
+            i, j = i[at], j[at]
+            found, *ends = _compared(x, x, i, j, (lead, reach, lead, reach))
+            reach = np.maximum(*ends)
+            lead = _connect(lead, i[found], j[found])
+            step *= 2
+    else:
+        before, after = _holders(x)
+        for i in range(0, n, _ROWS):
+            at = line[i : i + _ROWS]
+            apart = differ(at[:, None], line[None]) & (at[:, None] < line)
+            # The holders' bits are counted from a number's first.
+            j = int(apart.any(0).argmax()) // 64
+            if not apart.any():
+                continue
+            to, apart = line[64 * j :], apart[:, 64 * j :]
+            known = lead[at], reach[at], lead[to], reach[to]
+            found, mine, theirs = _similar(x[at], x[to], apart, known, (before[..., j:], after[..., j:]))
+            reach[at] = np.maximum(reach[at], mine)
+            reach[to] = np.maximum(reach[to], theirs)
+            one, two = np.nonzero(found)
+            lead = _connect(lead, at[one], to[two])
     some = np.flatnonzero(reach[:, 0])
     if len(some):
         lead, c = lead[some], rows.column("fc").to_numpy()
@@ -530,20 +642,36 @@ def _verified(blocks: DataFrame) -> DataFrame:
     sorted_ = blocks.repartition("pair").sortWithinPartitions("pair", "own", "sig", "ctx")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, small, size, last = [], [], 0, None
+
+        def ended(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            n = sum(b.num_rows for b in group)
+            if n > _SMALL:
+                yield from _settled(pa.Table.from_batches(group))
+                return
+            small.extend(group)
+            size += n
+            if size >= _HELD:
+                yield from _settled(pa.Table.from_batches(small))
+                small.clear()
+                size = 0
+
         for b in batches:
             if not b.num_rows:
                 continue
             group = b.column("pair").to_numpy()
             starts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), b.num_rows]
             for lo, hi in zip(starts, starts[1:]):
-                if size >= _HELD and group[lo] != last:
-                    yield from _settled(pa.Table.from_batches(held))
-                    held, size = [], 0
+                if held and group[lo] != last:
+                    yield from ended(held)
+                    held = []
                 held.append(b.slice(lo, hi - lo))
-                size, last = size + hi - lo, group[lo]
+                last = group[lo]
         if held:
-            yield from _settled(pa.Table.from_batches(held))
+            yield from ended(held)
+        if small:
+            yield from _settled(pa.Table.from_batches(small))
 
     return sorted_.mapInArrow(check, _FOUND)
 

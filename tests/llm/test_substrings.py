@@ -243,3 +243,65 @@ def test_connected_lines():
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
     assert lead.tolist() == want
+
+
+def settled(groups):
+    """What ``_settled`` finds for groups of lines, one a signature, each line in a document of its own."""
+    lines = [(g, bytes(w)) for g, group in enumerate(groups) for w in sorted(bytes(w) for w in group)]
+    n = len(lines)
+    table = pa.table({
+        "pair": [g for g, _ in lines], "sig": [g for g, _ in lines], "own": [0] * n, "within": [True] * n, "form": list(range(n)),
+        "ctx": [w for _, w in lines], "fk": list(range(n)), "fc": [100] * n, "mk": list(range(n)),
+    })
+    rows = [r for b in S._settled(table) for r in b.to_pylist()]
+    return lines, {r["form"]: (r["first"], r["last"], r["key2"], r["first2"], r["last2"]) for r in rows}
+
+
+def copies(draw, n, edits):
+    """Lines around c of one passage, each with its own changes, some put in or left out."""
+    base, out = [draw.randrange(1, 256) for _ in range(140)], []
+    for _ in range(n):
+        codes = [*base]
+        for _ in range(draw.randrange(edits + 1)):
+            at = draw.choice([k for k in range(25, 115) if abs(k - 70) > 4])
+            codes[at : at + 5] = [draw.randrange(1, 256) for _ in range(draw.choice([5, 5, 4, 6]) if at > 70 else 5)]
+        left, right = draw.choice([(47, 47), (20, 47), (47, 30), (1, 47), (44, 0)])
+        body = codes[70 - S._SIDE : 71 + S._SIDE]
+        out.append([left, right, *[v if -left <= k - S._SIDE <= right else 0 for k, v in enumerate(body)]])
+    return out
+
+
+def test_settled_lines_reach_as_far_as_all_pairs_do(monkeypatch):
+    draw = random.Random(21)
+    groups = [copies(draw, n, 3) + copies(draw, n, 2) for n in (1, 2, 5, 20, 70)]
+    for small, height in ((1000, 256), (1, 64), (1, 256)):
+        monkeypatch.setattr(S, "_SMALL", small)
+        monkeypatch.setattr(S, "_ROWS", height)
+        monkeypatch.setattr(S, "_PAIRS", 64)
+        for some in ([groups] if small > 1 else [[g] for g in groups]):
+            lines, got = settled(some)
+            x = np.array([list(w) for _, w in lines], np.uint8)
+            i, j = np.array([(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if lines[i][0] == lines[j][0]]).T
+            good, mine, theirs = S._matched(x[i][:, None], x[j][:, None], np.ones((len(i), 1), bool))
+            reach = np.zeros((len(x), 2), int)
+            for side in (0, 1):
+                np.maximum.at(reach[:, side], i, mine[side])
+                np.maximum.at(reach[:, side], j, theirs[side])
+            lead = S._connect(np.arange(len(x)), i[good[:, 0]], j[good[:, 0]])
+            ends = [(101 - int(a), 99 + int(b)) for a, b in reach]
+            assert got == {k: (*ends[k], int(lead[k]), *ends[lead[k]]) for k in range(len(x)) if reach[k, 0]}
+
+
+def test_few_pairs_of_near_copies_are_verified(monkeypatch):
+    draw, pairs, verified = random.Random(22), [], S._matched
+
+    def counted(x, y, apart):
+        pairs.append(apart.size)
+        return verified(x, y, apart)
+
+    monkeypatch.setattr(S, "_matched", counted)
+    monkeypatch.setattr(S, "_PAIRS", 64, raising=False)
+    for n in (40, 100, 300):
+        pairs.clear()
+        assert len(settled([copies(draw, n, 1)])[1]) > 0.5 * n
+        assert sum(pairs) < 0.25 * n * (n - 1) / 2
