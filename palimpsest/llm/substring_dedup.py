@@ -54,6 +54,8 @@ _SMALL, _HELD = 128, 8192
 _SIDE = LENGTH - 1 + SHIFT
 #: The codes of a window before c and after it, leading away from it.
 _PARTS = slice(_SIDE + 1, 1, -1), slice(_SIDE + 3, None)
+#: For windows that end up to ``_SIDE`` shingles before c, and after it: which places around c they hold.
+_INSIDE = [(k * np.arange(-_SIDE, _SIDE + 1) <= np.arange(_SIDE + 1)[:, None]).astype(np.uint8) for k in (-1, 1)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -214,9 +216,9 @@ def _around(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             ctx = np.empty((len(c), 2 * _SIDE + 3), np.uint8)
             ctx[:, 0] = np.minimum(c - left[keep], _SIDE)
             ctx[:, 1] = np.minimum(right[keep] - c, _SIDE)
-            at = np.arange(-_SIDE, _SIDE + 1)
-            inside = (at >= -ctx[:, :1].astype(int)) & (at <= ctx[:, 1:2].astype(int))
-            ctx[:, 2:] = codes[c[:, None] + at + _SIDE] * inside
+            ctx[:, 2:] = np.lib.stride_tricks.sliding_window_view(codes, 2 * _SIDE + 1)[c]
+            for k in (0, 1):
+                ctx[:, 2:] *= _INSIDE[k][ctx[:, k]]
             of = np.searchsorted(starts, c, "right") - 1
             ends = np.arange(len(ctx) + 1, dtype=np.int32) * ctx.shape[1]
             raw = pa.Array.from_buffers(pa.binary(), len(ctx), [None, pa.py_buffer(ends), pa.py_buffer(ctx.tobytes())])
@@ -366,43 +368,42 @@ def _near(
     return np.unpackbits(near.view(np.uint8), axis=1, count=apart.shape[1], bitorder="little").view(bool)
 
 
-def _counted(hit: np.ndarray) -> np.ndarray:
-    """How many of the first places, from none to all, are not hit."""
-    out = np.zeros((len(hit) + 1, hit.shape[1]), np.uint8)
-    np.logical_not(hit, out=out[1:].view(bool))
-    for i in range(len(hit)):
-        np.add(out[i], out[i + 1], out=out[i + 1])
-    return out
-
-
 def _bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lines of x each with one of y: how far before c and after it a stretch of x, and of y, can reach at most, and how far
     both reach with stretches in place; 0 where a pair misses too many shingles."""
-    misses, plain = ([], []), []
+    counts = []
     for part in _PARTS:
         u, v = (np.ascontiguousarray(w[:, part].T) for w in (x, y))
-        size, hits = len(u), (np.zeros(u.shape, bool), np.zeros(u.shape, bool))
+        size, n = u.shape
+        # How many of the first codes of x, of y, and of both in place are missing; a place outside of the window is.
+        out = np.zeros((size + 1, 3, n), np.uint8)
+        hits = np.zeros((3, size, n), bool)
         for d in _SHIFTS:
             lo, hi = max(0, -d), size - max(0, d)
             same = u[lo:hi] == v[lo + d : hi + d]
             hits[0][lo:hi] |= same
             hits[1][lo + d : hi + d] |= same
             if not d:
-                plain.append(_counted(same))
-        # A place outside of the window is missing.
-        for out, hit, w in zip(misses, hits, (u, v)):
-            out.append(_counted(np.logical_and(hit, w, out=hit)))
+                hits[2] = same
+        for k, w in enumerate((u, v, u)):
+            np.logical_and(hits[k], w, out=hits[k])
+            np.logical_not(hits[k], out=out[1:, k].view(bool))
+        for i in range(size):
+            np.add(out[i], out[i + 1], out=out[i + 1])
+        counts.append(out)
+    misses, plain = [[c[:, k] for c in counts] for k in (0, 1)], [c[:, 2] for c in counts]
     reach, far, possible = np.arange(1, LENGTH + 1, dtype=np.uint8)[:, None], [], np.ones(len(x), bool)
     back = slice(LENGTH - 1, None, -1)
+    # Where a shorter stretch of x or y, within that of ``LENGTH``, misses few.
+    spare = np.zeros((LENGTH, len(x)), bool)
+    for left, right in misses:
+        few = left[: LENGTH - SHIFT] + right[LENGTH - 1 - SHIFT :: -1] <= _SPARE
+        spare[SHIFT:] |= few
+        spare[: LENGTH - SHIFT] |= few
     for n, (w, (left, right)) in enumerate(zip((x, y), misses)):
         total = left[:LENGTH] + right[back]
-        some = total <= _MISSING
-        # Only beside a shorter stretch, its own one or the other's, that misses less.
-        spare = np.full_like(total, 255)
-        for a, b in misses:
-            np.minimum(spare[SHIFT:], a[: LENGTH - SHIFT] + b[back][SHIFT:], out=spare[SHIFT:])
-            np.minimum(spare[: LENGTH - SHIFT], a[: LENGTH - SHIFT] + b[LENGTH - 1 - SHIFT :: -1], out=spare[: LENGTH - SHIFT])
-        some &= (total <= _FEWER) | (spare <= _SPARE)
+        some = total <= _FEWER
+        some |= (total <= _MISSING) & spare
         possible &= some.any(0)
         ends = [(some * reach).max(0), (some * reach[::-1]).max(0)]
         others = misses[1 - n]
@@ -597,12 +598,12 @@ def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
     if small:
         # Neighbours in order first, as they are often similar: what they settle leaves fewer pairs of the rest.
-        size, step = int(np.unique(sig, return_counts=True)[1].max()), 1
-        while step < size:
-            i = np.concatenate([line[:-r] for r in range(step, min(2 * step, size))])
-            j = np.concatenate([line[r:] for r in range(step, min(2 * step, size))])
-            at = np.flatnonzero(sig[i] == sig[j])
-            i, j = i[at], j[at]
+        stops, step = np.append(np.flatnonzero(sig[1:] != sig[:-1]), n - 1), 1
+        rest = stops[np.searchsorted(stops, line)] - line
+        while (rest >= step).any():
+            some = line[rest >= step]
+            i = np.concatenate([some[rest[some] >= r] for r in range(step, 2 * step)])
+            j = i + np.repeat(np.arange(step, 2 * step), [np.count_nonzero(rest[some] >= r) for r in range(step, 2 * step)])
             full = (reach > x[:, :2]).all(1)
             at = np.flatnonzero(differ(i, j) & ~(full[i] & full[j] & (lead[i] == lead[j])))
             i, j = i[at], j[at]
